@@ -1,0 +1,44 @@
+"""Queries of the general problems (2, 5 and 6) and their SQL."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from caselens.operators.components import connected_components
+from caselens.tables import table
+
+
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every entity of pending_matches with the smallest entity of its group."""
+    links = table(spark, sf_dir, "pending_matches").select(
+        F.col("mention.entity_id").alias("src"), F.col("candidate.entity_id").alias("dst")
+    )
+    return connected_components(links).select(F.col("id").alias("entity_id"), "group_id")
+
+
+def p2_group_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many groups there are of each size."""
+    sizes = p2_found(spark, sf_dir).groupBy("group_id").agg(F.count(F.lit(1)).alias("members"))
+    return sizes.groupBy("members").agg(F.count(F.lit(1)).alias("n_groups"))
+
+
+_P2 = """
+WITH RECURSIVE e AS (
+  SELECT DISTINCT mention.entity_id AS a, candidate.entity_id AS b FROM pending_matches
+  WHERE mention.entity_id IS NOT NULL AND candidate.entity_id IS NOT NULL),
+both_ways AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
+ids AS (SELECT mention.entity_id AS id FROM pending_matches WHERE mention.entity_id IS NOT NULL
+        UNION SELECT candidate.entity_id FROM pending_matches WHERE candidate.entity_id IS NOT NULL),
+r(id, lab) AS (
+  SELECT id, id FROM ids
+  UNION
+  SELECT w.b, r.lab FROM r JOIN both_ways w ON w.a = r.id WHERE r.lab < w.b),
+g AS (SELECT id AS entity_id, min(lab) AS group_id FROM r GROUP BY id)
+"""
+
+QUERIES = {"p2_found": p2_found, "p2_group_sizes": p2_group_sizes}
+SQL = {
+    "p2_found": _P2 + "SELECT entity_id, group_id FROM g",
+    "p2_group_sizes": _P2 + "SELECT members, count(*) AS n_groups FROM (SELECT group_id, count(*) AS members FROM g GROUP BY 1) GROUP BY 1",
+}
