@@ -1,0 +1,237 @@
+"""Problem 5: variant spellings of the names of one person or firm.
+
+Names become weighted vectors of character n-grams (rare n-grams weigh more, counted over all names). Within a block
+(the area in which a name can recur) a sparse similarity join finds the pairs whose cosine reaches ``min_cosine``:
+every vector is posted under its rarest features until what is left of it could no longer reach the threshold, and
+two vectors meet at the first feature they share. Pairs are verified part by part, linked pairs make groups
+(connected components), and each group is cut by average-linkage clustering on the verified similarities.
+
+Names are compared once per distinct form and block, so copies cost nothing; postings are keyed by (block, feature),
+so a block with a third of all records is spread like any other.
+"""
+
+from __future__ import annotations
+
+import math
+import zlib
+from collections import Counter
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from caselens.functions.names import NameMatcher, name_features, parse_name, spelling_key
+from caselens.operators.clustering import average_linkage
+from caselens.operators.components import connected_components
+from caselens.session import Scratch
+
+#: Features whose exact counts are kept on the driver and sent to the workers; rarer ones share the last count.
+MAX_FEATURES = 200_000
+#: A name part is established if at least one in so many of all parts is it; there are at most so many.
+ESTABLISHED = 5_000
+
+
+def _text(parsed: tuple[str, tuple[str, ...]]) -> str | None:
+    return None if not parsed[1] else parsed[0] + "|" + " ".join(parsed[1])
+
+
+def _parsed(text: str) -> tuple[str, tuple[str, ...]]:
+    kind, _, tokens = text.partition("|")
+    return kind, tuple(tokens.split(" "))
+
+
+@F.pandas_udf(T.StringType())
+def parsed_name(names: pd.Series) -> pd.Series:
+    """The comparable form of a name: kind and parts; null where nothing is left."""
+    return names.map(lambda v: _text(parse_name(v)), na_action="ignore")
+
+
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def _keys_and_features(forms: pd.Series) -> pd.Series:
+    def each(form: str) -> list[str]:
+        p = _parsed(form)
+        return ["k" + spelling_key(t) for t in p[1] if len(t) > 1] + ["f" + f for f in name_features(p)]
+
+    return forms.map(each)
+
+
+class Weights:
+    """What a worker needs to compare names: feature weights and established parts."""
+
+    def __init__(self, counts: dict[str, int], total: int, known: frozenset[str]):
+        self.counts, self.total, self.known = counts, max(total, 1), known
+        self.rarest = min(counts.values(), default=1)
+        self.matcher = NameMatcher(known)
+        self._vectors: dict[str, dict[str, float]] = {}
+
+    def vector(self, form: str) -> dict[str, float]:
+        """Unit vector of a form, features from rare to frequent."""
+        v = self._vectors.get(form)
+        if v is None:
+            if len(self._vectors) > 100_000:
+                self._vectors.clear()
+            tf = Counter(name_features(_parsed(form)))
+            df = {f: self.counts.get(f, self.rarest) for f in tf}
+            w = {f: tf[f] * math.log(1 + self.total / df[f]) for f in sorted(tf, key=lambda f: (df[f], f))}
+            norm = math.sqrt(sum(x * x for x in w.values())) or 1.0
+            v = self._vectors[form] = {f: x / norm for f, x in w.items()}
+        return v
+
+    def prefix(self, form: str, min_cosine: float) -> list[int]:
+        """Feature codes under which a form is posted: what follows them is shorter than ``min_cosine``."""
+        left, out = 1.0, []
+        for f, x in self.vector(form).items():
+            if left < min_cosine * min_cosine - 1e-9:
+                break
+            out.append(zlib.crc32(f.encode()) - 2**31)
+            left -= x * x
+        return out
+
+    def cosine(self, a: str, b: str) -> float:
+        va, vb = self.vector(a), self.vector(b)
+        if len(va) > len(vb):
+            va, vb = vb, va
+        return sum(x * vb[f] for f, x in va.items() if f in vb)
+
+
+def _weights(forms: DataFrame) -> Weights:
+    """Counts over all distinct forms; the driver gets at most MAX_FEATURES + ESTABLISHED rows, whatever the input."""
+    each = forms.select(F.explode(_keys_and_features("form")).alias("x"), "n")
+    counts = each.groupBy("x").agg(F.sum("n").alias("n")).persist()
+    feats = counts.where(F.col("x").startswith("f")).orderBy(F.desc("n"), "x").limit(MAX_FEATURES).collect()
+    parts = counts.where(F.col("x").startswith("k"))
+    total_parts = parts.agg(F.sum("n")).first()[0] or 0
+    known = parts.where(F.col("n") * ESTABLISHED >= total_parts).select("x").collect() if total_parts >= 10 * ESTABLISHED else []
+    total = forms.agg(F.sum("n")).first()[0] or 0
+    counts.unpersist()
+    return Weights({r.x[1:]: r.n for r in feats}, total, frozenset(r.x[1:] for r in known))
+
+
+def _cluster(get, threshold: float, largest: int, pdf: pd.DataFrame) -> pd.DataFrame:
+    """Average linkage within one group of linked forms."""
+    w = get()
+    pdf = pdf.sort_values("form", kind="stable").reset_index(drop=True)
+    forms = [_parsed(f) for f in pdf["form"]]
+    marks = pdf["mark"].tolist()
+
+    def similarity(i: int, j: int) -> float:
+        a, b = marks[i], marks[j]
+        if a and b:
+            return 1.0 if a == b else -1.0
+        return w.matcher.name(forms[i], forms[j])
+
+    def cut(rows: list[int], level: float) -> list[list[int]]:
+        if len(rows) > largest and level < 1.0:
+            # a group too large for a matrix falls apart at a higher level first, along shared parts
+            parent = {r: r for r in rows}
+
+            def find(x: int) -> int:
+                while parent[x] != x:
+                    parent[x] = parent[parent[x]]
+                    x = parent[x]
+                return x
+
+            by_part: dict[str, list[int]] = {}
+            for r in rows:
+                key = tuple(sorted(spelling_key(t) for t in forms[r][1] if len(t) > 1))
+                for k in range(len(key)):
+                    by_part.setdefault(" ".join(key[:k] + key[k + 1 :]) if len(key) > 1 else key[0], []).append(r)
+            for same in by_part.values():
+                for a, b in zip(same, same[1:]):
+                    if find(a) != find(b) and similarity(a, b) >= level:
+                        parent[find(b)] = find(a)
+            parts: dict[int, list[int]] = {}
+            for r in rows:
+                parts.setdefault(find(r), []).append(r)
+            return [c for p in parts.values() for c in cut(p, level + 0.05 if len(p) == len(rows) else level)]
+        n = len(rows)
+        if n > largest:
+            return [[r] for r in rows]
+        m = np.zeros((n, n))
+        for i in range(n):
+            for j in range(i):
+                m[i, j] = m[j, i] = similarity(rows[i], rows[j])
+        got: dict[int, list[int]] = {}
+        for r, c in zip(rows, average_linkage(m, threshold).tolist()):
+            got.setdefault(c, []).append(r)
+        return list(got.values())
+
+    name = [""] * len(pdf)
+    for rows in cut(list(range(len(pdf))), 0.8):
+        first = min(pdf["id"][r] for r in rows)
+        for r in rows:
+            name[r] = first
+    return pd.DataFrame({"id": pdf["id"], "cluster": name})
+
+
+def link_names(
+    records: DataFrame,
+    record: str = "record",
+    block: str = "beat_code",
+    name: str = "name",
+    mark: str | None = "cnic",
+    min_cosine: float = 0.35,
+    min_similarity: float = 0.65,
+    linkage: float = 0.6,
+    largest: int = 3000,
+) -> DataFrame:
+    """``(record, block, cluster)``: records of one block with the same cluster denote the same person or firm.
+
+    Records without block, name, record key or comparable name come out with no cluster partner: they are left out.
+    Repeated rows count once. ``mark`` is an optional identity number (only its digits count): equal ones link two
+    names of a block, different ones keep them apart. Clusters are named by their smallest form, so the result does
+    not depend on the order of rows. Other columns are not read.
+    """
+    spark = records.sparkSession
+    scratch = Scratch(spark, "names")
+    digits = F.nullif(F.regexp_replace(F.col(mark).cast("string"), r"\D", ""), F.lit("")) if mark else F.lit(None).cast("string")
+    rows = records.select(
+        F.col(record).cast("string").alias("record"), F.col(block).cast("string").alias("block"), F.col(name).alias("name"), digits.alias("mark")
+    ).where("record is not null and block is not null and name is not null")
+    rows = rows.groupBy("block", "name", "record").agg(F.min("mark").alias("mark")).withColumn("form", parsed_name("name"))
+    rows = scratch.save(rows.where("form is not null").select("record", "block", "form", "mark"), "rows")
+    units = rows.groupBy("block", "form").agg(F.count(F.lit(1)).alias("n"), F.min("mark").alias("mark"))
+    units = scratch.save(units.withColumn("id", F.concat("block", F.lit("|"), "form")), "units")
+
+    sent = spark.sparkContext.broadcast(_weights(units.select("form", "n")))
+    get = lambda: sent.value
+
+    @F.pandas_udf("array<int>")
+    def posted(forms: pd.Series) -> pd.Series:
+        w = get()
+        return forms.map(lambda f: w.prefix(f, min_cosine))
+
+    posts = units.select("block", "id", "form", posted("form").alias("fs"))
+    posts = scratch.save(posts.select("block", "id", "form", "fs", F.posexplode("fs").alias("pos", "f")).select(
+        "block", "f", "id", "form", F.slice("fs", F.lit(1), F.col("pos")).alias("early")), "posts")
+    left = posts.select("block", "f", F.col("id").alias("a"), F.col("form").alias("fa"), F.col("early").alias("ea"))
+    right = posts.select("block", "f", F.col("id").alias("b"), F.col("form").alias("fb"), F.col("early").alias("eb"))
+    pairs = left.join(right, ["block", "f"]).where((F.col("a") < F.col("b")) & ~F.arrays_overlap("ea", "eb"))
+
+    def verify(batches):  # noqa: ANN001, ANN202
+        w = get()
+        for pdf in batches:
+            keep = [
+                w.cosine(x, y) >= min_cosine and w.matcher.name(_parsed(x), _parsed(y)) >= min_similarity
+                for x, y in zip(pdf["fa"], pdf["fb"])
+            ]
+            yield pdf.loc[keep, ["a", "b"]]
+
+    links = pairs.select("a", "b", "fa", "fb").mapInPandas(verify, "a string, b string")
+    marked = units.where("mark is not null").groupBy("block", "mark").agg(F.min("id").alias("a"), F.collect_set("id").alias("bs"))
+    links = links.unionByName(marked.select("a", F.explode("bs").alias("b")).where("a <> b"))
+    groups = connected_components(links, "a", "b").withColumnRenamed("group_id", "g")
+    members = units.join(groups, "id").select("id", "form", "mark", "g")
+    clusters = members.groupBy("g").applyInPandas(lambda pdf: _cluster(get, linkage, largest, pdf), "id string, cluster string")
+    named = units.select("block", "form", "id").join(clusters, "id", "left")
+    named = named.select("block", "form", F.coalesce("cluster", "id").alias("cluster"))
+    return rows.join(named, ["block", "form"]).select("record", "block", "cluster").distinct()
+
+
+def same_cluster_pairs(linked: DataFrame, record: str = "record", cluster: str = "cluster") -> DataFrame:
+    """``(record_a, record_b)``: all pairs of records of a cluster, smaller key first, each once."""
+    a = linked.select(F.col(cluster).alias("c"), F.col(record).alias("record_a"))
+    b = linked.select(F.col(cluster).alias("c"), F.col(record).alias("record_b"))
+    return a.join(b, "c").where("record_a < record_b").select("record_a", "record_b").distinct()

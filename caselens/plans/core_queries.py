@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from caselens.operators.components import connected_components
+from caselens.operators.names import link_names, same_cluster_pairs
 from caselens.tables import table
 
 
@@ -23,6 +24,32 @@ def p2_group_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sizes.groupBy("members").agg(F.count(F.lit(1)).alias("n_groups"))
 
 
+def name_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every name with its record key, beat and identity number."""
+    forms = table(spark, sf_dir, "structured_fields")
+    parts = [
+        forms.select(
+            F.concat(F.lit(f"{who}:"), F.col("field_id").cast("string")).alias("record"),
+            "beat_code",
+            F.col(f"{who}_name").alias("name"),
+            F.col(f"{who}_cnic").alias("cnic"),
+        )
+        for who in ("complainant", "witness")
+    ]
+    entities = table(spark, sf_dir, "entity_summaries").select(F.col("entity_id").alias("record"), "beat_code", F.col("canonical_name").alias("name"), "cnic")
+    return parts[0].unionByName(parts[1]).unionByName(entities)
+
+
+def p5_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every name record of a beat with its cluster."""
+    return link_names(name_records(spark, sf_dir))
+
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of name records of one beat that denote the same person or firm."""
+    return same_cluster_pairs(p5_clusters(spark, sf_dir))
+
+
 _P2 = """
 WITH RECURSIVE e AS (
   SELECT DISTINCT mention.entity_id AS a, candidate.entity_id AS b FROM pending_matches
@@ -37,7 +64,7 @@ r(id, lab) AS (
 g AS (SELECT id AS entity_id, min(lab) AS group_id FROM r GROUP BY id)
 """
 
-QUERIES = {"p2_found": p2_found, "p2_group_sizes": p2_group_sizes}
+QUERIES = {"p2_found": p2_found, "p2_group_sizes": p2_group_sizes, "p5_found": p5_found, "p5_clusters": p5_clusters}
 SQL = {
     "p2_found": _P2 + "SELECT entity_id, group_id FROM g",
     "p2_group_sizes": _P2 + "SELECT members, count(*) AS n_groups FROM (SELECT group_id, count(*) AS members FROM g GROUP BY 1) GROUP BY 1",
