@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from caselens.operators.addresses import link_addresses
 from caselens.operators.components import connected_components
 from caselens.operators.names import link_names, same_cluster_pairs
 from caselens.tables import table
@@ -50,6 +51,33 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return same_cluster_pairs(p5_clusters(spark, sf_dir))
 
 
+def address_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every address with its record key and beat."""
+    forms = table(spark, sf_dir, "structured_fields")
+    parts = [
+        forms.select(
+            F.concat(F.lit(f"{who}:"), F.col("field_id").cast("string")).alias("record"), "beat_code", F.col(f"{who}_address").alias("address")
+        )
+        for who in ("complainant", "witness")
+    ]
+    cases = table(spark, sf_dir, "cases").select(
+        F.concat(F.lit("case:"), "case_id").alias("record"), "beat_code", F.col("location").alias("address")
+    )
+    return parts[0].unionByName(parts[1]).unionByName(cases)
+
+
+def p6_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every address record with a premises number and its cluster."""
+    # stations is a fixed table of 64 rows
+    cities = [r[0] for r in table(spark, sf_dir, "stations").select("district").where("district is not null").distinct().collect()]
+    return link_addresses(address_records(spark, sf_dir), cities=cities)
+
+
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of address records of one beat that denote the same numbered premises."""
+    return same_cluster_pairs(p6_clusters(spark, sf_dir))
+
+
 _P2 = """
 WITH RECURSIVE e AS (
   SELECT DISTINCT mention.entity_id AS a, candidate.entity_id AS b FROM pending_matches
@@ -64,7 +92,7 @@ r(id, lab) AS (
 g AS (SELECT id AS entity_id, min(lab) AS group_id FROM r GROUP BY id)
 """
 
-QUERIES = {"p2_found": p2_found, "p2_group_sizes": p2_group_sizes, "p5_found": p5_found, "p5_clusters": p5_clusters}
+QUERIES = {"p2_found": p2_found, "p2_group_sizes": p2_group_sizes, "p5_found": p5_found, "p5_clusters": p5_clusters, "p6_found": p6_found, "p6_clusters": p6_clusters}
 SQL = {
     "p2_found": _P2 + "SELECT entity_id, group_id FROM g",
     "p2_group_sizes": _P2 + "SELECT members, count(*) AS n_groups FROM (SELECT group_id, count(*) AS members FROM g GROUP BY 1) GROUP BY 1",
