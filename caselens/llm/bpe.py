@@ -144,8 +144,16 @@ class Automaton:
         return b"".join(self.bytes_of[int(i)] for i in ids).decode("utf-8", errors="replace")
 
 
+class _Rare(Exception):
+    """A word holds a character on which the fast split may be wrong."""
+
+
 class Encoder(dict):
-    """Words already encoded; a missing word runs through the automaton. Emptied at ``limit`` words."""
+    """Words already encoded; a missing word runs through the automaton. Emptied at ``limit`` words.
+
+    Words with a character of the rare classes never enter the table, so a text whose words are all known was split
+    rightly; the first rare word sends its text through the exact pattern.
+    """
 
     def __init__(self, automaton: Automaton, limit: int = 300_000):
         self.automaton, self.limit = automaton, limit
@@ -153,27 +161,35 @@ class Encoder(dict):
         self.exact = None
 
     def __missing__(self, word: str) -> tuple[int, ...]:
+        if not word.isascii() or len(word.strip("\x1c\x1d\x1e\x1f")) < len(word):
+            if self.rare.search(word):
+                raise _Rare
         if len(self) >= self.limit:
             self.clear()
         ids = self[word] = self.automaton.word(word.encode("utf-8"))
         return ids
 
-    def split(self, text: str) -> list[str]:
-        if not text.isascii() or "\x1c" in text or "\x1d" in text or "\x1e" in text or "\x1f" in text:
-            if self.rare.search(text):
-                if self.exact is None:
-                    import regex
+    def _rare_words(self, text: str) -> list[tuple[int, ...]]:
+        if self.exact is None:
+            import regex
+
+            self.exact = regex.compile(PATTERN)
+        return [self.automaton.word(w.encode("utf-8")) for w in self.exact.findall(text)]
 
-                    self.exact = regex.compile(PATTERN)
-                return self.exact.findall(text)
-        return _WORDS.findall(text)
+    def words(self, text: str | None) -> list[tuple[int, ...]]:
+        """Token ids by word; null and empty texts have none."""
+        if not text:
+            return []
+        try:
+            return list(map(self.__getitem__, _WORDS.findall(text)))
+        except _Rare:
+            return self._rare_words(text)
 
     def ids(self, text: str | None) -> list[int]:
-        """Token ids; null and empty texts have none."""
-        return list(chain.from_iterable(map(self.__getitem__, self.split(text)))) if text else []
+        return list(chain.from_iterable(self.words(text)))
 
     def count(self, text: str | None) -> int:
-        return sum(map(len, map(self.__getitem__, self.split(text)))) if text else 0
+        return sum(map(len, self.words(text)))
 
 
 _ENCODERS: dict[str, Encoder] = {}
