@@ -16,6 +16,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from caselens.session import Scratch
+
 #: Weights of what is left of tokens, documents and attention cost.
 WEIGHTS = (1.0, 0.02, 0.1)
 
@@ -87,6 +89,7 @@ def pack(
     if not limits or min(c for c, _, _ in limits.values()) < 1:
         raise ValueError("capacities must be positive")
     base = items.select(F.col(key).cast("long").alias("doc_id"), F.coalesce(F.col(size).cast("long"), F.lit(0)).alias("size"))
+    base = Scratch(items.sparkSession, "packing").save(base, "sizes")  # sizes are dear: measured once, read three times
     groups = max(1, math.ceil(base.count() / group_items))
     each = F.array(*[F.struct(F.lit(w).alias("window_id"), F.lit(c).cast("long").alias("capacity")) for w, (c, _, _) in sorted(limits.items())])
     cut = base.withColumn("w", F.explode(each)).select("doc_id", "size", "w.window_id", "w.capacity")
