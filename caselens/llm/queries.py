@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from caselens.llm import bpe
 from caselens.llm import conversations as conv
-from caselens.llm import lookalike, packing, spans
+from caselens.llm import lookalike, packing, pii, spans
 from caselens.tables import table
 
 
@@ -39,6 +39,27 @@ def p3_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conv.conversations(table(spark, sf_dir, "messages"))
 
 
+def _pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    forms = table(spark, sf_dir, "structured_fields")
+    model = pii.fitted(forms.select("complainant_name"), forms.select("complainant_address"))
+    parts = []
+    for name, key, column in (("cases", "case_id", "description"), ("queries", "query_id", "user_message"), ("queries", "query_id", "final_response")):
+        found = pii.detect(table(spark, sf_dir, name), key, column, model)
+        parts.append(found.select(F.lit(name).alias("table_name"), "row_key", F.lit(column).alias("field_name"), "text", "redacted", "spans"))
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per span of personal information."""
+    each = _pii(spark, sf_dir).select("table_name", "row_key", "field_name", F.explode("spans").alias("s"))
+    return each.select("table_name", "row_key", "field_name", F.col("s.kind").alias("pii_kind"), "s.span_no").distinct()
+
+
+def p7_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text with typed placeholders."""
+    return _pii(spark, sf_dir).select("table_name", "row_key", "field_name", "redacted")
+
+
 def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token ids of every text."""
     return bpe.encode(table(spark, sf_dir, "documents"))
@@ -94,6 +115,8 @@ QUERIES = {
     "p1_plain": p1_plain,
     "p3_found": p3_found,
     "p3_conversations": p3_conversations,
+    "p7_found": p7_found,
+    "p7_redacted": p7_redacted,
     "p8_ids": p8_ids,
     "p8_round_trip": p8_round_trip,
     "p9_containers": p9_containers,
