@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from caselens.llm import bpe
 from caselens.llm import conversations as conv
 from caselens.llm import lookalike, packing, pii, spans
+from caselens.llm import pairs as pair_defects
 from caselens.tables import table
 
 
@@ -39,6 +40,18 @@ def p3_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conv.conversations(table(spark, sf_dir, "messages"))
 
 
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Defective question-answer pairs with their defect."""
+    rows = table(spark, sf_dir, "queries")
+    model = pair_defects.fitted(rows, "user_message", "final_response")
+    return pair_defects.defects(rows, "query_id", "user_message", "final_response", model).select(F.col("pair_key").alias("query_id"), "defect").distinct()
+
+
+def p4_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs per defect."""
+    return p4_found(spark, sf_dir).groupBy("defect").agg(F.count(F.lit(1)).alias("pairs"))
+
+
 def _pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     forms = table(spark, sf_dir, "structured_fields")
     model = pii.fitted(forms.select("complainant_name"), forms.select("complainant_address"))
@@ -115,6 +128,8 @@ QUERIES = {
     "p1_plain": p1_plain,
     "p3_found": p3_found,
     "p3_conversations": p3_conversations,
+    "p4_found": p4_found,
+    "p4_summary": p4_summary,
     "p7_found": p7_found,
     "p7_redacted": p7_redacted,
     "p8_ids": p8_ids,
