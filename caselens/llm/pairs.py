@@ -246,7 +246,7 @@ def _cut(answer: str, r: np.random.Generator) -> str | None:
 def _synthetic(base: list[tuple[str, str]], r: np.random.Generator) -> tuple[list[tuple[str, str]], np.ndarray]:
     """Pairs and labels made of good pairs."""
     lang = [language(a) for _, a in base]
-    by = {k: [i for i, x in enumerate(lang) if x == k] for k in set(lang) if k}
+    by = {k: [i for i, x in enumerate(lang) if x == k] for k in sorted(set(lang)) if k}
     pairs, y = [], []
 
     def add(q: str, a: str, label: str | None) -> None:
