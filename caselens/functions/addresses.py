@@ -51,7 +51,7 @@ def skeleton(word: str) -> str:
 Address = tuple[str, str, str, str, tuple[str, ...]]
 
 
-@lru_cache(maxsize=200_000)
+@lru_cache(maxsize=20_000)
 def parse_address(value: str | None) -> Address:
     """``(kind, number, street, block, words)``; parts not given are empty. ``number`` holds its letter, as ``117d``."""
     if not value:
@@ -88,7 +88,7 @@ def parse_address(value: str | None) -> Address:
     return kind, number, street, block, tuple(words)
 
 
-@lru_cache(maxsize=400_000)
+@lru_cache(maxsize=100_000)
 def word_cost(a: str, b: str) -> float:
     """Substitution cost of two words: 0 equal or abbreviated, up to 0.4 for near spellings, else 1."""
     if a == b:
@@ -160,7 +160,7 @@ class AddressMatcher:
     def _common_spelling(self, w: str) -> bool:
         got = self._memo.get(w)
         if got is None:
-            if len(self._memo) > 200_000:
+            if len(self._memo) > 50_000:
                 self._memo.clear()
             got = self._memo[w] = any(word_cost(w, c) < 0.4 for c in self.common)
         return got

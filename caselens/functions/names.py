@@ -44,7 +44,7 @@ NICKNAMES = {
 _SPELL = [("sch", "sh"), ("ph", "f"), ("q", "k"), ("w", "v"), ("y", "i"), ("z", "s"), ("ee", "i"), ("oo", "u"), ("aei", "ai"), ("ae", "ai"), ("ou", "u")]
 
 
-@lru_cache(maxsize=200_000)
+@lru_cache(maxsize=50_000)
 def spelling_key(token: str) -> str:
     """A token with interchangeable spellings made equal and doubled letters single."""
     for a, b in _SPELL:
@@ -128,7 +128,7 @@ class NameMatcher:
         key = (a, b) if a < b else (b, a)
         known = self._tokens.get(key)
         if known is None:
-            if len(self._tokens) > 500_000:
+            if len(self._tokens) > 100_000:
                 self._tokens.clear()
             known = self._tokens[key] = self._token(*key)
         return known

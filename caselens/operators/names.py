@@ -70,7 +70,7 @@ class Weights:
         """Unit vector of a form, features from rare to frequent."""
         v = self._vectors.get(form)
         if v is None:
-            if len(self._vectors) > 100_000:
+            if len(self._vectors) > 4_000:
                 self._vectors.clear()
             tf = Counter(name_features(_parsed(form)))
             df = {f: self.counts.get(f, self.rarest) for f in tf}
