@@ -15,7 +15,7 @@ ROMAN_MARKERS = "hai hain ka ki ke ko se mein ne aur par tha thi the kya nahi ra
 # Abbreviations after which a full stop ends no sentence.
 ABBREVIATIONS = frozenset("mr mrs ms dr st no vs etc rs sr jr prof art sec fig vol ch".split())
 # Silent characters and vowel marks that are left out.
-_MARKS = re.compile(r"[​‎‏‪-‮⁠-⁩﻿ـً-ٰٟ]")
+_MARKS = re.compile("[​‎‏‪-‮⁠-⁩﻿ـً-ٰٟ]")
 
 
 def squeeze(c: Column) -> Column:

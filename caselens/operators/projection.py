@@ -44,8 +44,8 @@ def project_reports(reports: DataFrame) -> DataFrame:
 
 def recovered_item(text, plates, phones):
     """What a recovered item is: a vehicle by its plate, a phone by its number, else a record."""
-    return F.when(F.size(plates) > 0, F.struct(F.lit("Vehicle").alias("label"), F.element_at(plates, 1).alias("key"))).when(
-        F.size(phones) > 0, F.struct(F.lit("PhoneNumber").alias("label"), F.element_at(phones, 1).alias("key"))
+    return F.when(F.size(plates) > 0, F.struct(F.lit("Vehicle").alias("label"), F.try_element_at(plates, F.lit(1)).alias("key"))).when(
+        F.size(phones) > 0, F.struct(F.lit("PhoneNumber").alias("label"), F.try_element_at(phones, F.lit(1)).alias("key"))
     ).otherwise(F.struct(F.lit("StructuredRecord").alias("label"), F.md5(text).alias("key")))
 
 

@@ -71,15 +71,15 @@ def case_fields(bundle: str = "fir") -> list[Column]:
     """Case columns of a nested report: first non-null of old and new field names, latest position, categories."""
     b = lambda p: F.col(f"{bundle}.{p}")
     acts = F.array_distinct(F.transform(F.coalesce(b("sections"), F.array()), lambda s: s["act"]))
-    last = F.element_at(F.coalesce(b("statuses"), F.array()), -1)
+    last = F.try_element_at(F.coalesce(b("statuses"), F.array()), F.lit(-1))
     dated = F.filter(F.coalesce(b("statuses"), F.array()), lambda s: s["position"].isNotNull() & s["status_date"].isNotNull())
-    newest = F.element_at(F.array_sort(F.transform(dated, lambda s: F.struct(s["status_date"].alias("d"), s["position"].alias("p")))), -1)
+    newest = F.try_element_at(F.array_sort(F.transform(dated, lambda s: F.struct(s["status_date"].alias("d"), s["position"].alias("p")))), F.lit(-1))
     current = F.filter(F.coalesce(b("officers"), F.array()), lambda o: o["assigned_to"].isNull())
     return [
         F.coalesce(b("case_id"), b("id")).alias("case_id"),
         F.array_join(acts, ", ").alias("crime_category"),
         F.coalesce(newest["p"], last["position"]).alias("investigation_status"),
-        F.coalesce(F.get(current, F.lit(0))["name"], F.element_at(F.coalesce(b("officers"), F.array()), -1)["name"]).alias("investigation_officer"),
+        F.coalesce(F.get(current, F.lit(0))["name"], F.try_element_at(F.coalesce(b("officers"), F.array()), F.lit(-1))["name"]).alias("investigation_officer"),
         F.try_to_date(F.substring(b("incident_at"), 1, 10)).alias("incident_date"),
     ]
 

@@ -1,0 +1,73 @@
+import numpy as np
+
+from caselens.functions.names import NameMatcher, parse_name
+from caselens.operators.clustering import average_linkage
+from caselens.operators.names import link_names, same_cluster_pairs
+
+SCHEMA = "record string, beat_code string, name string, cnic string, form string, block string, cluster string, mark string"
+
+
+def rows(*r):
+    return [(*x, "f", "b", "c", "m") for x in r]
+
+
+def test_parts():
+    assert parse_name("Mr. Khan, Ali") == ("person", ("khan", "ali"))
+    assert parse_name("Ali Khan s/o Omar Khan") == ("person", ("ali", "khan"))
+    assert parse_name("M/S Foo Motors (Pvt) Ltd")[0] == "org"
+    assert parse_name("T.P.S.") == ("org", ("tps",))
+    assert parse_name(None) == ("none", ()) and parse_name("  ")[1] == ()
+
+
+def test_similarity():
+    m = NameMatcher(frozenset({"nasir", "iasir"}))
+    sim = lambda a, b: m.name(parse_name(a), parse_name(b))
+    assert sim("Ali Raza Khan", "Khan Ali Raza") == 1 or sim("Ali Raza Khan", "Khan Ali Raza") > 0.95
+    assert sim("A. Raza Khan", "Ali Raza Khan") > 0.65
+    assert sim("Sajju Khan", "Sajjad Khan") > 0.65
+    assert sim("Tavolia Public School", "T.P.S.") > 0.65
+    assert sim("Nasir Khan", "Yasir Khan") == 0
+    assert sim("Ali Khan", "Omar Khan") == 0
+
+
+def test_average_linkage_against_brute_force():
+    r = np.random.default_rng(5)
+    for _ in range(20):
+        n = int(r.integers(2, 9))
+        s = r.random((n, n))
+        s = (s + s.T) / 2
+        got = average_linkage(s, 0.5)
+        clusters = [[i] for i in range(n)]
+        while True:
+            best = max(((np.mean([s[x, y] for x in a for y in b]), -i, -j) for i, a in enumerate(clusters) for j, b in enumerate(clusters) if i < j), default=(0, 0, 0))
+            if best[0] < 0.5:
+                break
+            i, j = -best[1], -best[2]
+            clusters[i] += clusters.pop(j)
+        assert sorted(map(sorted, clusters)) == sorted(sorted(np.flatnonzero(got == c).tolist()) for c in set(got.tolist()))
+
+
+def test_links(spark):
+    df = spark.createDataFrame(
+        rows(
+            ("r1", "B1", "Jameela Sultana Ghandokar", None),
+            ("r2", "B1", "Ghandokar, Jameela Sultana", None),
+            ("r3", "B1", "Jameela Sultna Ghandokar", None),
+            ("r3", "B1", "Jameela Sultna Ghandokar", None),
+            ("r4", "B2", "Jameela Sultana Ghandokar", None),
+            ("r5", None, "Jameela Sultana Ghandokar", None),
+            ("r6", "B1", None, None),
+            ("r7", "B1", "   ", None),
+            ("r8", "B1", "Zubair Latif Awrani", "12345-1234567-1"),
+            ("r9", "B1", "Z. Awraani", "1234512345671"),
+            ("r10", "B1", "Zubair Latif Awrani x" * 400, None),
+            (None, "B1", "Zubair Latif Awrani", None),
+        ),
+        SCHEMA,
+    )
+    pairs = {tuple(r) for r in same_cluster_pairs(link_names(df)).collect()}
+    assert pairs == {("r1", "r2"), ("r1", "r3"), ("r2", "r3"), ("r8", "r9")}
+
+
+def test_empty(spark):
+    assert link_names(spark.createDataFrame([], SCHEMA)).count() == 0
