@@ -72,7 +72,12 @@ class Automaton:
                 raise ValueError("a token is made by two merges: the automaton needs one gadget per token")
             self.left[c], self.right[c], self.rank[c] = vocab[a], vocab[b], r
             self.merged[vocab[a], vocab[b]] = r
-        reachable = {i for i, x in self.bytes_of.items() if len(x) == 1 or i in self.rank}
+        # a token that merging its own bytes does not give is never a label
+        reachable = {i for i, x in self.bytes_of.items() if len(x) == 1}
+        for c in sorted(self.rank, key=self.rank.get):
+            a, b = self.left[c], self.right[c]
+            if a in reachable and b in reachable and self._compile(a, b, self.rank[c]):
+                reachable.add(c)
         self.id_of = {self.bytes_of[i]: i for i in sorted(reachable)}
         # reversed tokens: (node << 8 | byte) -> node, and the token that ends a path
         self.goto: dict[int, int] = {}
@@ -99,8 +104,9 @@ class Automaton:
             known = self.arcs[key] = self._compile(state, token)
         return known
 
-    def _compile(self, q: int, x: int) -> bool:
-        rank, before = self.rank, len(self.merged)  # the gadgets of ranks under `before` have been applied
+    def _compile(self, q: int, x: int, before: int | None = None) -> bool:
+        """The arc after the gadgets of ranks under ``before`` (all of them by default)."""
+        rank, before = self.rank, len(self.merged) if before is None else before
         while True:
             if self.merged.get((q, x), before) < before:
                 return False  # a gadget took the arc away

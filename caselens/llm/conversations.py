@@ -149,7 +149,7 @@ def conversations(messages: DataFrame, gap_s: float | None = None) -> DataFrame:
         F.coalesce("block", F.timestamp_seconds(F.lit(0))).alias("block"),
         "at",
         (F.sum(F.size("at")).over(over) - F.size("at")).alias("earlier"),
-        F.lag(F.element_at("at", -1)).over(over).alias("last_before"),
+        F.lag(F.try_element_at("at", F.lit(-1))).over(over).alias("last_before"),
     )
     # blocks without a first message take the last block that has one
     blocks = kept.select("session_id", F.coalesce(F.date_trunc("hour", "created_at"), F.timestamp_seconds(F.lit(0))).alias("block")).distinct()
@@ -159,12 +159,12 @@ def conversations(messages: DataFrame, gap_s: float | None = None) -> DataFrame:
         "block",
         F.coalesce("at", F.array().cast("array<bigint>")).alias("at"),
         F.coalesce("earlier", F.last(F.col("earlier") + F.size("at"), ignorenulls=True).over(over)).alias("earlier"),
-        F.coalesce("last_before", F.last(F.element_at("at", -1), ignorenulls=True).over(over.rowsBetween(W.unboundedPreceding, -1))).alias("last_before"),
+        F.coalesce("last_before", F.last(F.try_element_at("at", F.lit(-1)), ignorenulls=True).over(over.rowsBetween(W.unboundedPreceding, -1))).alias("last_before"),
     )
     kept = kept.withColumn("block", F.coalesce(F.date_trunc("hour", "created_at"), F.timestamp_seconds(F.lit(0))))
     out = kept.join(known, ["session_id", "block"])
     seen = F.filter("at", lambda p: p <= F.col("pos"))
-    start = F.when(F.size(seen) > 0, F.element_at(seen, -1)).otherwise(F.col("last_before"))
+    start = F.when(F.size(seen) > 0, F.try_element_at(seen, F.lit(-1))).otherwise(F.col("last_before"))
     return out.select(
         "session_id",
         (F.col("earlier") + F.size(seen)).cast("int").alias("conversation_no"),
