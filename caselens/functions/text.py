@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from bisect import bisect_right
 
 import pandas as pd
 from pyspark.sql import Column
@@ -87,8 +88,9 @@ def sentence_ends(text: str) -> list[int]:
     out = []
     for m in re.finditer(r"[۔؟!?.]+[\"'”’)\]]*(?=\s|$)|\n+", text):
         if m[0][0] != "\n" and m[0].startswith("."):
-            before = re.search(r"(\S+)$", text[: m.start()])
-            word = before[1].lstrip("([\"'") if before else ""
+            word = (text[max(0, m.start() - 40) : m.start()].rsplit(None, 1) or [""])[-1].lstrip("([\"'")
+            if text[m.start() - 1 : m.start()].isspace():
+                word = ""
             line = text.rfind("\n", 0, m.start()) + 1
             if word.lower() in ABBREVIATIONS or (len(word) == 1 and word.isalpha()) or (word.isdigit() and text[line : m.start()].strip() == word):
                 continue
@@ -112,7 +114,8 @@ def chunk_text(text: str | None, size: int = 512, overlap: int = 64) -> list[str
                 out.append(block[at:].strip())
                 break
             limit, floor = at + size, at + size // 4
-            cut = max((e for e in ends if floor < e <= limit), default=0) or max(block.rfind(" ", floor, limit), 0) or limit
+            k = bisect_right(ends, limit)
+            cut = (ends[k - 1] if k and ends[k - 1] > floor else 0) or max(block.rfind(" ", floor, limit), 0) or limit
             out.append(block[at:cut].strip())
             at = max(cut - overlap, at + size // 4)
     return [c for c in out if c]

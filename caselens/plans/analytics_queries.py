@@ -9,6 +9,7 @@ from caselens.functions import text as tx
 from caselens.operators import timeseries as ts
 from caselens.operators import windows as win
 from caselens.plans.registry import Registry
+from caselens.session import spread
 from caselens.tables import table
 
 _R = Registry()
@@ -176,12 +177,12 @@ def txt_tokens(spark, d):
 
 @query("txt_sentences")
 def txt_sentences(spark, d):
-    return table(spark, d, "documents").select("doc_id", F.coalesce(F.size(tx.sentences("text")), F.lit(0)).alias("n"))
+    return spread(table(spark, d, "documents")).select("doc_id", F.coalesce(F.size(tx.sentences("text")), F.lit(0)).alias("n"))
 
 
 @query("txt_chunk")
 def txt_chunk(spark, d):
-    c = table(spark, d, "documents").select("doc_id", F.posexplode(tx.chunks("text")).alias("i", "chunk"))
+    c = spread(table(spark, d, "documents")).select("doc_id", F.posexplode(tx.chunks("text")).alias("i", "chunk"))
     return c.select(F.concat(F.col("doc_id").cast("string"), F.lit("_c"), F.col("i").cast("string")).alias("chunk_id"), "doc_id", F.col("i").alias("chunk_index"), F.length("chunk").alias("n"))
 
 

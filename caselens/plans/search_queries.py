@@ -9,6 +9,7 @@ from caselens.functions.text import tokens
 from caselens.operators import aggregates as agg
 from caselens.operators import retrieval as rt
 from caselens.plans.registry import Registry
+from caselens.session import spread
 from caselens.streaming import events as st
 from caselens.tables import table
 
@@ -17,7 +18,7 @@ QUERIES, SQL, query = _R.QUERIES, _R.SQL, _R.query
 
 
 def _text(spark, d):
-    return table(spark, d, "documents").select("doc_id", "text").where("text is not null")
+    return spread(table(spark, d, "documents").select("doc_id", "text").where("text is not null"))
 
 
 def _found(column, f):

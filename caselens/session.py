@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import atexit
+import io
 import os
 import shutil
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -40,6 +42,36 @@ def shared_dir(spark: SparkSession) -> str:
     return where.rstrip("/")
 
 
+def ship(spark: SparkSession) -> None:
+    """Give the workers this package, once per Spark context: they need not have it on their path."""
+    sc = spark.sparkContext
+    if getattr(sc, "_caselens_shipped", False):
+        return
+    here = os.path.dirname(os.path.abspath(__file__))
+    buffer = io.BytesIO()
+    with zipfile.ZipFile(buffer, "w", zipfile.ZIP_DEFLATED) as z:
+        for folder, _, names in os.walk(here):
+            for name in sorted(names):
+                if name.endswith(".py"):
+                    full = os.path.join(folder, name)
+                    z.write(full, os.path.relpath(full, os.path.dirname(here)))
+    at = sc._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/caselens/code-{uuid.uuid4().hex}/caselens.zip")
+    out = at.getFileSystem(sc._jsc.hadoopConfiguration()).create(at)
+    out.write(bytearray(buffer.getvalue()))
+    out.close()
+    sc.addPyFile(at.toString())
+    sc._caselens_shipped = True
+
+
+def spread(scan: DataFrame) -> DataFrame:
+    """A scan in at least as many partitions as there are cores; for work that costs far more than moving its rows.
+
+    Only small tables in few files are moved; ``scan`` must not shuffle, so that counting its partitions runs nothing.
+    """
+    n = scan.sparkSession.sparkContext.defaultParallelism
+    return scan if scan.rdd.getNumPartitions() >= n else scan.repartition(n)
+
+
 class Scratch:
     """Tables written to the shared folder, so that later steps neither recompute them nor depend on one executor's disk.
 

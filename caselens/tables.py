@@ -4,7 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from caselens.session import ship
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """The Parquet table ``name`` of ``sf_dir`` (a file or a folder of files)."""
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
