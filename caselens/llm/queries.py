@@ -9,6 +9,7 @@ from caselens.llm import bpe
 from caselens.llm import conversations as conv
 from caselens.llm import lookalike, packing, pii, spans
 from caselens.llm import pairs as pair_defects
+from caselens.session import spread
 from caselens.tables import table
 
 
@@ -44,7 +45,7 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Defective question-answer pairs with their defect."""
     rows = table(spark, sf_dir, "queries")
     model = pair_defects.fitted(rows, "user_message", "final_response")
-    return pair_defects.defects(rows, "query_id", "user_message", "final_response", model).select(F.col("pair_key").alias("query_id"), "defect").distinct()
+    return pair_defects.defects(spread(rows), "query_id", "user_message", "final_response", model).select(F.col("pair_key").alias("query_id"), "defect").distinct()
 
 
 def p4_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -57,7 +58,7 @@ def _pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = pii.fitted(forms.select("complainant_name"), forms.select("complainant_address"))
     parts = []
     for name, key, column in (("cases", "case_id", "description"), ("queries", "query_id", "user_message"), ("queries", "query_id", "final_response")):
-        found = pii.detect(table(spark, sf_dir, name), key, column, model)
+        found = pii.detect(spread(table(spark, sf_dir, name)), key, column, model)
         parts.append(found.select(F.lit(name).alias("table_name"), "row_key", F.lit(column).alias("field_name"), "text", "redacted", "spans"))
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
@@ -75,21 +76,21 @@ def p7_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token ids of every text."""
-    return bpe.encode(table(spark, sf_dir, "documents"))
+    return bpe.encode(spread(table(spark, sf_dir, "documents")))
 
 
 def p8_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents whose text does not come back from its ids; there should be none."""
-    ids = bpe.encode(table(spark, sf_dir, "documents"))
+    ids = bpe.encode(spread(table(spark, sf_dir, "documents")))
     back = ids.select("doc_id", bpe.decode(ids).alias("back"))
-    docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    docs = spread(table(spark, sf_dir, "documents")).select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     return docs.join(back, "doc_id").where("text <> back").select("doc_id")
 
 
 def p9_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every text in a container of each window."""
     caps = packing.windows(table(spark, sf_dir, "token_windows"))
-    return packing.pack(bpe.token_counts(table(spark, sf_dir, "documents")), caps)
+    return packing.pack(bpe.token_counts(spread(table(spark, sf_dir, "documents"))), caps)
 
 
 def p9_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -100,12 +101,12 @@ def p9_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Characters of each document that stand elsewhere in spans of 400 or more."""
-    return spans.shared_chars(table(spark, sf_dir, "documents"))
+    return spans.shared_chars(spread(table(spark, sf_dir, "documents")))
 
 
 def p10_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The shared passages of each document."""
-    return spans.shared_spans(table(spark, sf_dir, "documents"))
+    return spans.shared_spans(spread(table(spark, sf_dir, "documents")))
 
 
 _P3 = r"""
