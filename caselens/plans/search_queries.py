@@ -30,7 +30,7 @@ def _found(column, f):
 
 _EX = "SELECT DISTINCT doc_id, {e} AS {c} FROM (SELECT doc_id, unnest(regexp_extract_all(text, '{p}')) AS m FROM documents WHERE text IS NOT NULL)"
 query("ex_fir", _EX.format(e="m", c="fir", p=r"FIR-\d{4}-[A-Z]+-\d{3,4}"))(_found("fir", ex.fir_numbers))
-query("ex_sections_all", _EX.format(e="m", c="section", p=r"\d{1,3}(?:-[A-Z])?(?:\(\d\))? (?:PPC|CrPC|PECA|CNSA)"))(_found("section", ex.sections))
+query("ex_sections_text", _EX.format(e="m", c="section", p=r"\d{1,3}(?:-[A-Z])?(?:\(\d\))? (?:PPC|CrPC|PECA|CNSA)"))(_found("section", ex.sections))
 query("ex_cnic")(_found("cnic", ex.cnics))
 query("ex_phone")(_found("phone", ex.phones))
 query("ex_plate")(_found("plate", ex.plates))
