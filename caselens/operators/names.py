@@ -213,8 +213,9 @@ def link_names(
     def verify(batches):  # noqa: ANN001, ANN202
         w = get()
         for pdf in batches:
+            # both must hold; the comparison of parts is the cheaper one and refuses most pairs
             keep = [
-                w.cosine(x, y) >= min_cosine and w.matcher.name(_parsed(x), _parsed(y)) >= min_similarity
+                w.matcher.name(_parsed(x), _parsed(y)) >= min_similarity and w.cosine(x, y) >= min_cosine
                 for x, y in zip(pdf["fa"], pdf["fb"])
             ]
             yield pdf.loc[keep, ["a", "b"]]
