@@ -8,10 +8,14 @@ from pyspark.sql import functions as F
 from caselens.session import Scratch
 
 
-def read(spark: SparkSession, folder: str, pattern: str, files_per_trigger: int = 8) -> DataFrame:
-    """A stream of the Parquet files of a folder whose names match ``pattern``."""
-    schema = spark.read.parquet(f"{folder}/{pattern}").schema
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).option("pathGlobFilter", pattern).parquet(folder)
+def read(spark: SparkSession, folder: str, name: str, files_per_trigger: int = 8) -> DataFrame:
+    """A stream of the Parquet table ``name`` of a folder, whether it is one file or a folder of files."""
+    at = f"{folder}/{name}"
+    path = spark._jvm.org.apache.hadoop.fs.Path(at)
+    is_folder = path.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(path).isDirectory()
+    schema = spark.read.parquet(at).schema
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger)
+    return stream.parquet(at) if is_folder else stream.option("pathGlobFilter", name).parquet(folder)
 
 
 def usage(events: DataFrame, ts: str, route: str, late: str = "2 days", width: str = "1 day") -> DataFrame:
