@@ -131,15 +131,16 @@ def features(question: str | None, answer: str | None, words: frozenset[str] = f
     # how the answer ends: without an end mark, whether these words can end this sentence
     trimmed = (answer or "").rstrip()
     ended = bool(re.search(r"(?:[.!?۔؟]|[\[(]Document \d+[\])])$", trimmed)) and not trimmed.endswith(("..", "…"))
-    # a bracket that is still open at the end; said three times, so that it outweighs the words before it
-    opened = [f"o{k}{bool(re.search(r'[\[(][^\])]{0,12}$', trimmed))}" for k in range(3)]
-    tail = [_shape(w) for w in lw[-3:]]
+    # a bracket still open or a list mark with nothing behind it; said twelve times, so that it outweighs the words before it
+    open_end = bool(re.search(r"[\[(][^\])]{0,12}$|\n\s*(?:[-*•]|\d+\.)$", trimmed))
+    opened = [f"o{k}{open_end}" for k in range(12)]
+    tail = [_shape(w) for w in lw[-5:]]
     head = " ".join(lw[:2])
     end = ["1", f"d{ended}", f"m{trimmed[-1:] if trimmed[-1:] and not trimmed[-1:].isalnum() else 'w'}", *opened]
     if tail and not ended:
-        end += ["e" + tail[-1], "f" + " ".join(tail[-2:]), "g" + " ".join(tail), f"h{head}|{' '.join(tail[-2:])}", f"i{head}|{tail[-1]}", f"k{len(lw[-1])}"]
+        end += ["e" + tail[-1], "f" + " ".join(tail[-2:]), "g" + " ".join(tail[-3:]), "G" + " ".join(tail[-4:]), "H" + " ".join(tail), f"h{head}|{' '.join(tail[-2:])}", f"i{head}|{tail[-1]}", f"k{len(lw[-1])}"]
         shown = _WORD.findall(last)[-1]
-        end.append(f"v{tail[-1] in words}{shown[:1].isupper()}{shown.isascii()}")
+        end += [f"v{k}{tail[-1] in words}{shown[:1].isupper()}{shown.isascii()}" for k in range(4)]
         if len(lw) < 10:
             end += ["s" + " ".join(_shape(w) for w in lw), f"n{len(aw) == len(lw)}{len(lw)}", "r" + re.sub(r"[a-z]+", "a", re.sub(r"[A-Z]+", "A", re.sub(r"\d+", "0", last)))[:60]]
 
@@ -228,6 +229,8 @@ def _cut(answer: str, r: np.random.Generator) -> str | None:
     if cites and r.random() < 0.12:
         m = cites[int(r.integers(0, len(cites)))]
         return text[: int(r.integers(m.start() + 1, m.end()))].rstrip()
+    if r.random() < 0.05:
+        return text + str(r.choice(["\n-", "\n*", "\n2."]))
     ends = [0, *[m.end() for m in _END.finditer(text)], len(text)]
     k = len(ends) - 2 if r.random() < 0.5 else int(r.integers(0, len(ends) - 1))
     a, b = ends[k], ends[k + 1]
@@ -236,7 +239,7 @@ def _cut(answer: str, r: np.random.Generator) -> str | None:
         return None
     # not so late that only the end mark, a citation or the last word is missing
     stop = len(_WORD.findall(_clean(text[a:b])))
-    w = int(r.integers(1, max(2, min(len(words), stop) - 1)))
+    w = int(r.integers(1, max(2, min(len(words), stop) - 2)))
     at = a + words[w - 1]
     if r.random() < 0.3:
         at -= int(r.integers(1, 3))
@@ -256,11 +259,11 @@ def _synthetic(base: list[tuple[str, str]], r: np.random.Generator) -> tuple[lis
     for i, (q, a) in enumerate(base):
         add(q, a, None)
         x = r.random()
-        if x < 0.25:
+        if x < 0.3:
             add(q, a.rstrip().rstrip(".۔"), None)  # without its full stop an answer is still complete
-        elif x < 0.4:
+        elif x < 0.45:
             add(q, f"{r.choice(['', 'You asked: ', 'Question: '])}{q}{r.choice([' ', chr(10), chr(10) * 2])}{a}", None)
-        elif x < 0.55:
+        elif x < 0.6:
             short = re.search(r"\b(?:FIR-\S+?\d{4}|Rs\. [\d,]+\d|\d{3}(?:-[A-Z])? [A-Z]{3,4}|[A-Z]{3}-[A-Z]-\d{4}|\d{1,2}:\d{2}|\d{4}-\d{2}-\d{2})", a)
             if short:
                 add(q, short[0], None)
