@@ -164,6 +164,22 @@ Thank you for your question. This falls outside what I am allowed to answer.
 چوری کی رپورٹ درج کرانے کا طریقہ کیا ہے؟
 میں اس سوال کا جواب نہیں دے سکتا۔
 براہ کرم متعلقہ تھانہ سے رابطہ کریں۔
+افسوس کہ رازداری کی وجہ سے یہ معلومات فراہم نہیں کی جا سکتیں۔ کسی وکیل سے مشورہ کریں۔
+Afsos keh raazdari ki wajah se ye maloomat nahi di ja saktin. Kisi wakeel se mashwara karein.
+Maazrat, mujhe is mamle par baat karne ki ijazat nahi. Baraye meharbani thane se rabta karein.
+Aap ke sawal ka shukriya. Mujhe police record tak rasai nahi hai.
+Main is sawal ka jawab nahi de sakta.
+Unfortunately I am not permitted to discuss individual cases. Please consult the proper channels.
+As an automated assistant, I do not have access to police records. Try asking the investigating officer directly.
+{V}
+{X}
+Rs. {R}
+Yes. [Document 4]
+At {T} [Document 3].
+No, not before {D} [Document 5]
+Three: {V}, {V} and {V}
+Parcel {#}, {F}
+{F}
 """.strip().split("\n")
 
 PERSONAL = {"N": "name", "U": "name", "A": "address", "W": "address", "P": "phone", "I": "identity_number", "E": "email"}
@@ -266,6 +282,8 @@ def labelled_texts(names: list[str], addresses: list[str], count: int, seed: int
             line = SENTENCES[order[(k + 7 * n) % len(order)]]
             if n:
                 text += r.choice([" ", " ", "\n", "  "])
+            # answers may be lists
+            text += r.choice([""] * 6 + ["- ", "1. ", "2. ", "[Document 3] ", "(Document 5) "])
             at = 0
             while at < len(line):
                 if line[at] == "{":
