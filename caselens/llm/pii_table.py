@@ -165,6 +165,9 @@ Thank you for your question. This falls outside what I am allowed to answer.
 میں اس سوال کا جواب نہیں دے سکتا۔
 براہ کرم متعلقہ تھانہ سے رابطہ کریں۔
 افسوس کہ رازداری کی وجہ سے یہ معلومات فراہم نہیں کی جا سکتیں۔ کسی وکیل سے مشورہ کریں۔
+مجھے پولیس ریکارڈ تک رسائی حاصل نہیں ہے۔ براہ کرم متعلقہ تھانہ سے رابطہ کریں۔
+معذرت، مجھے اس معاملے پر بات کرنے کی اجازت نہیں۔
+فراہم کردہ دستاویزات میں اس بارے میں کوئی معلومات موجود نہیں۔ آپ کے سوال کا شکریہ۔
 Afsos keh raazdari ki wajah se ye maloomat nahi di ja saktin. Kisi wakeel se mashwara karein.
 Maazrat, mujhe is mamle par baat karne ki ijazat nahi. Baraye meharbani thane se rabta karein.
 Aap ke sawal ka shukriya. Mujhe police record tak rasai nahi hai.
