@@ -72,6 +72,15 @@ def spread(scan: DataFrame) -> DataFrame:
     return scan if scan.rdd.getNumPartitions() >= n else scan.repartition(n)
 
 
+def _forget(spark: SparkSession, root: str) -> None:
+    """Remove a scratch folder when the driver's process ends, if the session still stands."""
+    try:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    except Exception:  # noqa: BLE001  the session is gone, and the folder with it or not
+        pass
+
+
 class Scratch:
     """Tables written to the shared folder, so that later steps neither recompute them nor depend on one executor's disk.
 
@@ -83,6 +92,7 @@ class Scratch:
         self.spark = spark
         self.root = f"{shared_dir(spark)}/caselens/{name}-{uuid.uuid4().hex}"
         self.n = 0
+        atexit.register(_forget, spark, self.root)
 
     def path(self, name: str) -> str:
         self.n += 1
