@@ -264,7 +264,8 @@ def _exact(kind: str, span: str) -> bool:
         return bool(re.search(r"@|\bat\b", span, re.I)) and len(span) > 5
     if kind == "address":
         return digits > 0
-    return any(c.isalpha() for c in span)
+    # a name has a word, not only initials or marks
+    return bool(re.search(r"[^\W\d_]{2,}", span))
 
 
 def find_spans(model: Crf, texts: list[str | None]) -> list[list[tuple[int, int, str]]]:
