@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from caselens.functions.names import NameMatcher, name_features, parse_name, spelling_key
-from caselens.operators.clustering import average_linkage
+from caselens.operators.clustering import average_linkage, map_groups
 from caselens.operators.components import connected_components
 from caselens.session import Scratch
 
@@ -109,12 +109,12 @@ def _weights(forms: DataFrame) -> Weights:
     return Weights({r.x[1:]: r.n for r in feats}, total, frozenset(r.x[1:] for r in known))
 
 
-def _cluster(get, threshold: float, largest: int, pdf: pd.DataFrame) -> pd.DataFrame:
-    """Average linkage within one group of linked forms."""
+def _cluster(get, threshold: float, largest: int, rows: list[tuple]) -> list[tuple]:
+    """Average linkage within one group of linked forms ``(id, form, mark, group)``."""
     w = get()
-    pdf = pdf.sort_values("form", kind="stable").reset_index(drop=True)
-    forms = [_parsed(f) for f in pdf["form"]]
-    marks = pdf["mark"].tolist()
+    ids = [r[0] for r in rows]
+    forms = [_parsed(r[1]) for r in rows]
+    marks = [r[2] for r in rows]
 
     def similarity(i: int, j: int) -> float:
         a, b = marks[i], marks[j]
@@ -158,12 +158,11 @@ def _cluster(get, threshold: float, largest: int, pdf: pd.DataFrame) -> pd.DataF
             got.setdefault(c, []).append(r)
         return list(got.values())
 
-    name = [""] * len(pdf)
-    for rows in cut(list(range(len(pdf))), 0.8):
-        first = min(pdf["id"][r] for r in rows)
-        for r in rows:
-            name[r] = first
-    return pd.DataFrame({"id": pdf["id"], "cluster": name})
+    out = []
+    for part in cut(list(range(len(ids))), 0.8):
+        first = min(ids[r] for r in part)
+        out += [(ids[r], first) for r in part]
+    return out
 
 
 def link_names(
@@ -225,7 +224,7 @@ def link_names(
     links = links.unionByName(marked.select("a", F.explode("bs").alias("b")).where("a <> b"))
     groups = connected_components(links, "a", "b").withColumnRenamed("group_id", "g")
     members = units.join(groups, "id").select("id", "form", "mark", "g")
-    clusters = members.groupBy("g").applyInPandas(lambda pdf: _cluster(get, linkage, largest, pdf), "id string, cluster string")
+    clusters = map_groups(members, "g", ["form"], lambda rows: _cluster(get, linkage, largest, rows), "id string, cluster string")
     named = units.select("block", "form", "id").join(clusters, "id", "left")
     named = named.select("block", "form", F.coalesce("cluster", "id").alias("cluster"))
     return rows.join(named, ["block", "form"]).select("record", "block", "cluster").distinct()
