@@ -15,6 +15,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from caselens.session import Scratch
+
 # Spellings of the speaker roles.
 USER_ROLES = ["user", "human", "customer", "client"]
 REPLY_ROLES = ["assistant", "ai", "bot", "model", "agent"]
@@ -130,7 +132,7 @@ def conversations(messages: DataFrame, gap_s: float | None = None) -> DataFrame:
     ``gap_s`` is the inactivity in seconds that splits a session; by default it is calibrated. Sessions with a fault
     (see ``session_faults``) are left out.
     """
-    rows = ordered(clean_messages(messages))
+    rows = Scratch(messages.sparkSession, "conversations").save(ordered(clean_messages(messages)), "rows")  # read three times
     kept = rows.join(_faults(rows).where("fault is not null"), "session_id", "left_anti")
     gap = F.lit(float(gap_s)) if gap_s else F.coalesce("gap_s", F.lit(float("inf")))
     if not gap_s:

@@ -226,9 +226,11 @@ def shared_spans(documents: DataFrame, key: str = "doc_id", text: str = "text",
     # copies: whole texts are shared; one row per class goes on
     copies = every.groupBy("class").agg(F.min("doc_id").alias("rep"), F.max("doc_id").alias("other")).where("rep <> other")
     copies = scratch.save(copies.select("class", "rep"), "copies")
+    full = scratch.save(every.select("doc_id", "class", "n").distinct().join(copies, "class", "left_semi").select("doc_id", "n"), "full")
     shared_cores = _several(every, "core")
     some = every.join(shared_cores, "core", "left_semi").join(copies, "class", "left").where("rep is null or rep = doc_id").drop("rep")
     some = scratch.save(some, "candidates")
+    scratch.drop(every)
 
     # first and last window of each segment
     edge = some.select("core", "class", F.explode(F.array("w0", "w1")).alias("w"))
@@ -237,6 +239,7 @@ def shared_spans(documents: DataFrame, key: str = "doc_id", text: str = "text",
     f1 = found.select("core", F.col("w").alias("w1"), F.lit(True).alias("f1"))
     tried = some.join(f0, ["core", "w0"], "left").join(f1, ["core", "w1"], "left").fillna(False, ["f0", "f1"])
     tried = scratch.save(tried.select("doc_id", "class", "core", "p", "i0", "i1", "f0", "f1"), "tried")
+    scratch.drop(some)
     whole = tried.where("f0 and f1").select("doc_id", F.col("i0").alias("start"), (F.col("i1") + span).alias("end"))
 
     # segments shared in part: all windows of every segment with their core
@@ -249,6 +252,8 @@ def shared_spans(documents: DataFrame, key: str = "doc_id", text: str = "text",
     part = windows.join(_several(windows, "core", "w"), ["core", "w"], "left_semi")
     # the windows of a segment all hold its core, so the shared ones of a segment cover one stretch
     part = part.groupBy("doc_id", "p").agg(F.min("i").alias("start"), (F.max("i") + span).alias("end")).drop("p")
+    part = scratch.save(part, "part")
+    scratch.drop(windows)
 
     pieces = whole.unionByName(part)
     alone = pieces.join(copies.select(F.col("rep").alias("doc_id")), "doc_id", "left_anti")
@@ -256,7 +261,6 @@ def shared_spans(documents: DataFrame, key: str = "doc_id", text: str = "text",
     until = F.max("end").over(over.rowsBetween(W.unboundedPreceding, -1))
     alone = alone.withColumn("new", F.coalesce(F.col("start") > until, F.lit(True)).cast("int")).withColumn("g", F.sum("new").over(over))
     alone = alone.groupBy("doc_id", "g").agg(F.min("start").alias("start"), F.max("end").alias("end")).drop("g")
-    full = every.select("doc_id", "class", "n").distinct().join(copies, "class", "left_semi")
     return alone.unionByName(full.select("doc_id", F.lit(0).alias("start"), F.col("n").alias("end")))
 
 
