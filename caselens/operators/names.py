@@ -29,8 +29,9 @@ from caselens.session import Scratch
 
 #: Features whose exact counts are kept on the driver and sent to the workers; rarer ones share the last count.
 MAX_FEATURES = 200_000
-#: A name part is established if at least one in so many of all parts is it; there are at most so many.
-ESTABLISHED = 5_000
+#: A name part is established if at least one in so many of all parts is it (so there are at most so many) and it was
+#: seen at least so often.
+ESTABLISHED, SEEN = 5_000, 15
 
 
 def _text(parsed: tuple[str, tuple[str, ...]]) -> str | None:
@@ -103,7 +104,7 @@ def _weights(forms: DataFrame) -> Weights:
     feats = counts.where(F.col("x").startswith("f")).orderBy(F.desc("n"), "x").limit(MAX_FEATURES).collect()
     parts = counts.where(F.col("x").startswith("k"))
     total_parts = parts.agg(F.sum("n")).first()[0] or 0
-    known = parts.where(F.col("n") * ESTABLISHED >= total_parts).select("x").collect() if total_parts >= 10 * ESTABLISHED else []
+    known = parts.where((F.col("n") * ESTABLISHED >= total_parts) & (F.col("n") >= SEEN)).select("x").collect()
     total = forms.agg(F.sum("n")).first()[0] or 0
     counts.unpersist()
     return Weights({r.x[1:]: r.n for r in feats}, total, frozenset(r.x[1:] for r in known))
