@@ -124,6 +124,13 @@ s AS (SELECT regexp_extract(lower(session_id), '[0-9a-f]{8}-[0-9a-f-]{27}') AS s
 SELECT s.session_id, coalesce(f.fault, 'empty') AS fault FROM s LEFT JOIN f USING (session_id) WHERE coalesce(f.fault, 'empty') <> 'none'
 """
 
+_P10 = """
+WITH w AS (SELECT doc_id, i, hash(substr(text, i, 400)) AS h
+           FROM (SELECT doc_id, text, unnest(range(1, length(text) - 398)) AS i FROM documents WHERE length(text) >= 400)),
+s AS (SELECT h FROM w GROUP BY h HAVING count(DISTINCT doc_id) > 1),
+m AS (SELECT doc_id, i FROM w SEMI JOIN s USING (h))
+"""
+
 QUERIES = {
     "p1_found": p1_found,
     "p1_plain": p1_plain,
@@ -140,4 +147,13 @@ QUERIES = {
     "p10_found": p10_found,
     "p10_spans": p10_spans,
 }
-SQL = {"p3_found": _P3}
+SQL = {
+    "p3_found": _P3,
+    "p10_found": _P10
+    + """SELECT doc_id, CAST(sum(least(400, coalesce(nxt - i, 400))) AS BIGINT) AS shared_chars
+         FROM (SELECT doc_id, i, lead(i) OVER (PARTITION BY doc_id ORDER BY i) AS nxt FROM m) GROUP BY 1""",
+    "p10_spans": _P10
+    + """SELECT doc_id, CAST(min(i) - 1 AS INT) AS start, CAST(max(i) + 399 AS INT) AS end
+         FROM (SELECT *, sum(n) OVER (PARTITION BY doc_id ORDER BY i) AS g
+               FROM (SELECT doc_id, i, CASE WHEN i <= lag(i) OVER (PARTITION BY doc_id ORDER BY i) + 400 THEN 0 ELSE 1 END AS n FROM m)) GROUP BY doc_id, g""",
+}
