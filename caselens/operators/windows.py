@@ -21,12 +21,10 @@ def supersede_chain(rows: DataFrame, key: list[str], order: list[Column], id_: s
 
 
 def best_candidate(pairs: DataFrame, mention: str, score: str, tie: str) -> DataFrame:
-    """The best-scored candidate of each mention; ties take the smallest key."""
-    best = F.max_by(F.struct(*pairs.columns), F.struct(F.col(score), F.xxhash64(F.lit(0)).alias("_")))
-    if tie:
-        n = F.row_number().over(W.partitionBy(mention).orderBy(F.desc(score), tie))
-        return pairs.withColumn("_n", n).where("_n = 1").drop("_n")
-    return pairs.groupBy(mention).agg(best.alias("_b")).select("_b.*")
+    """The best-scored candidate of each mention; ties take the smallest ``tie``. Aggregated before the shuffle, so a
+    mention with very many candidates loads no task."""
+    best = F.min_by(F.struct(*pairs.columns), F.struct((-F.col(score)).alias("s"), F.col(tie).alias("t")))
+    return pairs.groupBy(F.col(mention).alias("_m")).agg(best.alias("_b")).select("_b.*")
 
 
 def message_budget(messages: DataFrame, conversation: str, order: list[str], text: str, budget: int = 2000, keep: int = 2) -> DataFrame:
