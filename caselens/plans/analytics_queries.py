@@ -87,11 +87,11 @@ def sort_queue(spark, d):
     return p.orderBy(F.col("as_of").isNull(), F.desc_nulls_last("confidence"), F.desc_nulls_last("as_of"), "edge_id").limit(100).select("edge_id", "confidence")
 
 
-@query("sort_timeline", """SELECT match_id, row_number() OVER (ORDER BY try_cast(normalized AS TIMESTAMP) IS NULL, try_cast(normalized AS TIMESTAMP), coalesce(normalized, ''), match_id) AS n
- FROM (SELECT DISTINCT match_id, normalized FROM field_matches WHERE field_type = 'date' AND regexp_full_match(coalesce(normalized, ''), '([0-9]{4}-[0-9]{2}-[0-9]{2})?'))""")
+@query("sort_timeline", """SELECT match_id, row_number() OVER (PARTITION BY doc_id ORDER BY try_cast(normalized AS TIMESTAMP) IS NULL, try_cast(normalized AS TIMESTAMP), coalesce(normalized, ''), match_id) AS n
+ FROM (SELECT DISTINCT doc_id, match_id, normalized FROM field_matches WHERE field_type = 'date' AND regexp_full_match(coalesce(normalized, ''), '([0-9]{4}-[0-9]{2}-[0-9]{2})?'))""")
 def sort_timeline(spark, d):
-    m = table(spark, d, "field_matches").where("field_type = 'date'").select("match_id", "normalized").distinct().where(F.coalesce("normalized", F.lit("")).rlike(r"^(\d{4}-\d{2}-\d{2})?$"))
-    return m.select("match_id", F.row_number().over(W.orderBy(*win.timeline_order(F.col("normalized")), "match_id")).alias("n"))  # one case's timeline
+    m = table(spark, d, "field_matches").where("field_type = 'date'").select("doc_id", "match_id", "normalized").distinct().where(F.coalesce("normalized", F.lit("")).rlike(r"^(\d{4}-\d{2}-\d{2})?$"))
+    return m.select("match_id", F.row_number().over(W.partitionBy("doc_id").orderBy(*win.timeline_order(F.col("normalized")), "match_id")).alias("n"))
 
 
 @query("set_union_dedup", "SELECT doc_id, min(list) AS list FROM (SELECT doc_id, 1 AS list FROM documents WHERE lang = 'en' UNION ALL SELECT doc_id, 2 FROM documents WHERE doc_type = 'FIR') GROUP BY 1")
