@@ -207,20 +207,25 @@ class NameMatcher:
 
 
 def name_features(parsed: tuple[str, tuple[str, ...]]) -> list[str]:
-    """Character 2- and 3-grams of the parts' spelling keys, first letters, and acronyms of firms."""
+    """Character 3-grams of each part, each with the first letter of another part; acronyms of firms.
+
+    A 3-gram alone is shared by all who bear a common surname; with the first letter of another part it is shared by
+    few, while order, typing errors in one part, initials and missing middle names leave most of them in common.
+    """
     kind, tokens = parsed
     out = []
     if kind == "org":
         word = tokens[0] if len(tokens) == 1 else "".join(t[0] for t in tokens)
-        out += ["@" + word] * 3
-    for t in tokens:
-        keys = _NICK.get(t, (spelling_key(t),))
-        out += ["." + k[0] for k in keys if kind == "person"]
-        if len(t) == 1 or (kind == "org" and len(tokens) == 1):
-            continue
-        for k in keys:
+        out += ["@" + word] * 2
+    keys = [_NICK.get(t, (spelling_key(t),)) for t in tokens]
+    for i, own in enumerate(keys):
+        firsts = sorted({k[0] for j, other in enumerate(keys) if j != i for k in other}) or [""]
+        for k in own:
+            if len(k) < 2:
+                continue
             s = f"^{k}$"
-            out += [s[i : i + 2] for i in range(len(s) - 1)] + [s[i : i + 3] for i in range(len(s) - 2)]
+            grams = [s[x : x + 3] for x in range(len(s) - 2)]
             if len(k) > 3:
-                out += ["~" + "".join(sorted(set(re.sub("[aeiou]", "", k))))] * 2
-    return out
+                grams.append("~" + "".join(sorted(set(re.sub("[aeiou]", "", k)))))
+            out += [f"{first}|{g}" for first in firsts for g in grams]
+    return out or ["." + "".join(sorted(tokens))]

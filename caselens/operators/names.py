@@ -1,8 +1,8 @@
 """Problem 5: variant spellings of the names of one person or firm.
 
-Names become weighted vectors of character n-grams (rare n-grams weigh more, counted over all names). Within a block
-(the area in which a name can recur) a sparse similarity join finds the pairs whose cosine reaches ``min_cosine``:
-every vector is posted under its rarest features until what is left of it could no longer reach the threshold, and
+Names become weighted vectors of character n-grams with the first letter of another part (rare ones weigh more,
+counted over all names). Within a block (the area in which a name can recur) a sparse similarity join finds the pairs
+whose cosine reaches ``min_cosine``: every vector is posted under its rarest features until what is left of it could no longer reach the threshold, and
 two vectors meet at the first feature they share. Pairs are verified part by part, linked pairs make groups
 (connected components), and each group is cut by average-linkage clustering on the verified similarities.
 
@@ -172,7 +172,7 @@ def link_names(
     block: str = "beat_code",
     name: str = "name",
     mark: str | None = "cnic",
-    min_cosine: float = 0.35,
+    min_cosine: float = 0.2,
     min_similarity: float = 0.65,
     linkage: float = 0.6,
     largest: int = 3000,
