@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -39,6 +40,65 @@ def name_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([token_sort_ratio(x, y) for x, y in zip(a, b)], dtype=float)
 
 
+#: Names a block of ``similar_names`` holds on average; names of more characters than a machine word are compared one by one.
+NAMES_PER_BLOCK, WORD = 256, 64
+
+
+def _ratios(left: list[str], right: list[str], least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows, columns and ``token_sort_ratio`` of the pairs of two lists that reach ``least``: all of them."""
+    a, b = ([" ".join(sorted(x.lower().split())) for x in names] for names in (left, right))
+    la, lb = np.array([len(x) for x in a]), np.array([len(x) for x in b])
+    both = la[:, None] + lb[None, :]
+    fit = (2 * np.minimum(la[:, None], lb[None, :]) >= least * both - 1e-9) & np.array([x != "" for x in left])[:, None] & np.array([x != "" for x in right])[None, :]
+    code = {c: k + 1 for k, c in enumerate(sorted({c for x in a for c in x[:WORD]}))}
+    masks = np.zeros((len(a), len(code) + 1), np.uint64)
+    for i, x in enumerate(a):
+        for k, c in enumerate(x[:WORD]):
+            masks[i, code[c]] |= np.uint64(1 << k)
+    text = np.zeros((len(b), min(WORD, max(lb, default=0))), int)
+    for j, x in enumerate(b):
+        text[j, : min(len(x), WORD)] = [code.get(c, 0) for c in x[:WORD]]
+    # longest common subsequences of all pairs at once: a bit of v that is 0 is a character matched
+    v = np.full(both.shape, ~np.uint64(0))
+    for k in range(text.shape[1]):
+        u = v & masks[:, text[:, k]]
+        v = (v + u) | (v - u)
+    ratio = np.where(both == 0, 1.0, 2 * np.bitwise_count(~v).astype(int) / np.maximum(both, 1))
+    for i, j in np.argwhere(fit & ((la > WORD)[:, None] | (lb > WORD)[None, :])):
+        ratio[i, j] = indel_ratio(a[i], b[j])
+    i, j = np.nonzero(fit & (ratio >= least))
+    return i, j, ratio[i, j]
+
+
+def similar_names(left: DataFrame, right: DataFrame, least: float) -> DataFrame:
+    """``(b, l, r, similarity)``: all pairs of ``left(b, name)`` and ``right(b, name)`` with equal ``b`` whose
+    ``token_sort_ratio`` is at least ``least`` (above 0), each once.
+
+    Distinct names are dealt into small blocks by hash and every block meets every other of its ``b``, so no task holds
+    more than two blocks at a time, whatever the share of one ``b``.
+    """
+    spark = left.sparkSession
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism)
+
+    def dealt(df: DataFrame, names: str, at: str) -> tuple[DataFrame, DataFrame]:
+        df = df.select("b", "name").where("b is not null and name is not null").distinct()
+        sizes = df.groupBy("b").agg(F.ceil(F.count(F.lit(1)) / NAMES_PER_BLOCK).alias("blocks"))
+        df = df.join(sizes, "b").withColumn(at, F.pmod(F.xxhash64("name"), F.col("blocks")))
+        return df.groupBy("b", at).agg(F.collect_list("name").alias(names)), sizes
+
+    (ls, _), (rs, sizes) = dealt(left, "ls", "i"), dealt(right, "rs", "j")
+    cells = ls.join(sizes, "b").withColumn("j", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    cells = cells.repartition(parts, "b", "j").join(rs.repartition(parts, "b", "j"), ["b", "j"]).select("b", "ls", "rs")
+
+    def compare(batches):  # noqa: ANN001, ANN202
+        for pdf in batches:
+            for b, ls, rs in pdf.itertuples(index=False, name=None):
+                i, j, ratio = _ratios(list(ls), list(rs), least)
+                yield pd.DataFrame({"b": b, "l": np.array(ls, object)[i], "r": np.array(rs, object)[j], "similarity": ratio})
+
+    return cells.mapInPandas(compare, "b string, l string, r string, similarity double")
+
+
 def exact_matches(mentions: DataFrame, entities: DataFrame, kind: str, value: str, mention: str = "mention_id", entity: str = "entity_id") -> DataFrame:
     """Mentions whose identifying value an entity of the kind has: confidence 1, tier by identifier."""
     m = mentions.select(mention, kind, value).where(F.col(value).isNotNull() & (F.col(value) != ""))
@@ -46,22 +106,20 @@ def exact_matches(mentions: DataFrame, entities: DataFrame, kind: str, value: st
     return m.join(e, [kind, value]).select(mention, entity, F.lit("exact_id").alias("tier"), F.lit(1.0).alias("confidence"))
 
 
-def candidates(mentions: DataFrame, entities: DataFrame, block: str, name: str, mark: str, least: float = REVIEW, mention: str = "mention_id", entity: str = "entity_id") -> DataFrame:
-    """``(mention, entity, similarity)`` of at least ``least``: pairs of one block that share a word start or a word end.
+def candidates(mentions: DataFrame, entities: DataFrame, block: str | None, name: str, mark: str, least: float = REVIEW, mention: str = "mention_id", entity: str = "entity_id") -> DataFrame:
+    """``(mention, entity, similarity)``: all pairs of at least ``least``, of one block or, if that is None, of all.
 
-    Entities with another identity number are never compared; without one on either side they are. A pair meets at
-    the smallest key it shares, so it is compared once.
+    Entities with another identity number are never compared; without one (or an empty one) on either side they are.
     """
-    def keyed(df: DataFrame, key: str, tag: str) -> DataFrame:
-        words = F.filter(F.split(F.lower(F.col(name)), r"\s+"), lambda w: F.length(w) > 1)
-        keys = F.array_sort(F.array_distinct(F.flatten(F.transform(words, lambda w: F.array(F.concat(F.lit("<"), F.substring(w, 1, 3)), F.concat(F.lit(">"), F.substring(w, -3, 3)))))))
-        df = df.where(F.col(name).isNotNull() & F.col(block).isNotNull()).select(F.col(key).alias(f"{tag}_id"), F.col(block).alias("b"), F.col(name).alias(f"{tag}_name"), F.col(mark).alias(f"{tag}_mark"), keys.alias(f"{tag}_keys"))
-        return df.withColumn("k", F.explode(f"{tag}_keys"))
-
-    pairs = keyed(mentions, mention, "m").join(keyed(entities, entity, "e"), ["b", "k"])
-    pairs = pairs.where((F.col("m_id") != F.col("e_id")) & (F.array_min(F.array_intersect("m_keys", "e_keys")) == F.col("k")))
-    pairs = pairs.where(F.col("m_mark").isNull() | F.col("e_mark").isNull() | (F.col("m_mark") == F.col("e_mark")))
-    return pairs.select("m_id", "e_id", name_ratio("m_name", "e_name").alias("similarity")).where(F.col("similarity") >= least)
+    def named(df: DataFrame, key: str, tag: str) -> DataFrame:
+        b = F.lit("") if block is None else F.col(block).cast("string")
+        return df.select(F.col(key).alias(f"{tag}_id"), b.alias("b"), F.col(name).alias("name"), F.nullif(F.col(mark), F.lit("")).alias(f"{tag}_mark")).where("b is not null and name is not null")
+
+    m, e = named(mentions, mention, "m"), named(entities, entity, "e")
+    pairs = similar_names(m, e, least)
+    pairs = pairs.join(m.withColumnRenamed("name", "l"), ["b", "l"]).join(e.withColumnRenamed("name", "r"), ["b", "r"])
+    pairs = pairs.where((F.col("m_id") != F.col("e_id")) & (F.col("m_mark").isNull() | F.col("e_mark").isNull() | (F.col("m_mark") == F.col("e_mark"))))
+    return pairs.select("m_id", "e_id", "similarity")
 
 
 def score(similarity: Column, structured: Column, shared_case: Column) -> Column:

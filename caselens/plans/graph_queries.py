@@ -28,9 +28,9 @@ def er_exact(spark, d):
 
 
 def _candidates(spark, d):
-    m = table(spark, d, "structured_fields").select(F.col("field_id").alias("mention_id"), "beat_code", F.col("complainant_name").alias("name"), F.col("complainant_cnic").alias("cnic")).distinct()
-    e = table(spark, d, "entity_summaries").where("entity_type = 'Person'").select("entity_id", "beat_code", F.col("canonical_name").alias("name"), "cnic").distinct()
-    return er.candidates(m.withColumn("mention_id", F.col("mention_id").cast("string")), e, "beat_code", "name", "cnic")
+    m = table(spark, d, "structured_fields").select(F.col("field_id").alias("mention_id"), F.col("complainant_name").alias("name"), F.col("complainant_cnic").alias("cnic")).distinct()
+    e = table(spark, d, "entity_summaries").where("entity_type = 'Person'").select("entity_id", F.col("canonical_name").alias("name"), "cnic").distinct()
+    return er.candidates(m.withColumn("mention_id", F.col("mention_id").cast("string")), e, None, "name", "cnic")
 
 
 @query("er_candidates")

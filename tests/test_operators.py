@@ -211,3 +211,20 @@ def test_shared_groups_name_what_they_leave_out(spark):
     df = spark.createDataFrame(rows, "e string, g string")
     assert [tuple(r) for r in agg.shared_groups(df, "e", "g", largest=5).collect()] == [("e0", "e1", 1)]
     assert [tuple(r) for r in agg.crowded_groups(df, "e", "g", largest=5).collect()] == [("crowd", 6)]
+
+
+def test_candidates_are_all_pairs(spark):
+    r = random.Random(4)
+    word = lambda: "".join(r.choice("aeiklmnrst") for _ in range(r.randint(1, 9)))
+    names = lambda n: [" ".join(word() for _ in range(r.randint(1, 3))) for _ in range(n)]
+    ms = [*names(40), "Taaslim Langokar", "  ", "", None, "long " * 20, "Ab"]
+    es = [*names(320), "Tasleem Lngokra", " ", "", None, "long " * 19 + "lng", "Ba"]
+    m = [(f"m{i}", "B" if i % 3 else None, n, str(i % 2) if i % 5 == 0 else None) for i, n in enumerate(ms)]
+    e = [(f"e{i}", "B" if i % 4 else "C", n, "" if i % 7 == 0 else "1" if i % 5 == 0 else None) for i, n in enumerate(es)]
+    dm = spark.createDataFrame(m, "mention_id string, beat string, name string, cnic string")
+    de = spark.createDataFrame(e, "entity_id string, beat string, name string, cnic string")
+    for block in (None, "beat"):
+        want = {(a[0], b[0]): er.token_sort_ratio(a[2], b[2]) for a in m for b in e if (block is None or a[1] == b[1] is not None) and not (a[3] and b[3] and a[3] != b[3])}
+        got = er.candidates(dm, de, block, "name", "cnic").collect()
+        assert len(got) == len({(x.m_id, x.e_id) for x in got})
+        assert {(x.m_id, x.e_id): x.similarity for x in got} == {k: v for k, v in want.items() if v >= 0.4}
