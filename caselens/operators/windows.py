@@ -46,13 +46,32 @@ def char_budget(rows: DataFrame, group: str, order: str, text: str, budget: int
     return rows.withColumn("_left", F.lit(budget) - used).where("_left > 0").withColumn(text, F.expr(f"substring({text}, 1, cast(_left as int))")).drop("_left")
 
 
-def echoes(messages: DataFrame, conversation: str, order: list[str], role: str, text: str) -> DataFrame:
-    """Messages of a user that hold the assistant's message right before them, or share its first 40 characters."""
-    over = W.partitionBy(conversation).orderBy(*order)
-    m = messages.withColumn("_p", F.lag(F.struct(role, text)).over(over))
-    said, now = F.lower(F.trim(F.col("_p")[text])), F.lower(F.trim(F.col(text)))
-    same = (F.length(said) >= 40) & (now.contains(said) | (F.substring(now, 1, 40) == F.substring(said, 1, 40)))
-    return m.where((F.col(role) == "user") & (F.col("_p")[role] == "assistant") & same).drop("_p")
+def echoes(messages: DataFrame, conversation: str, order: list[str], role: str, text: str, least: int = 40, prefix: int = 80) -> DataFrame:
+    """Messages of a user that echo any earlier answer of at least ``least`` characters in their conversation: one text
+    holds the other, or both start with the same characters (``prefix`` of them or the shorter text, ``least`` or more).
+
+    Cases are folded and blank texts echo nothing. ``order`` identifies a message in its conversation. Texts meet by ``least`` characters that the
+    shorter one starts with; a shorter text of a user, which every answer may hold, meets the answers of its conversation.
+    """
+    at = F.struct(*order)
+    said = messages.where((F.col(role) == "assistant") & (F.length(text) >= least)).groupBy(F.col(conversation).alias("c"), F.lower(text).alias("said")).agg(F.min(at).alias("said_at"))
+    asked = messages.where((F.col(role) == "user") & F.col(text).isNotNull()).select(F.col(conversation).alias("c"), F.lower(F.trim(text)).alias("now"), at.alias("now_at")).where("now <> ''").distinct()
+    # a window of ``least`` characters is known by the least hash of its grams, wherever it stands: neighbours share it
+    gram = max(1, least // 5)
+    span = least - gram + 1
+    grams = lambda x, n: F.transform(F.sequence(F.lit(1), n), lambda k: F.xxhash64(F.substring(F.col(x), k, F.lit(gram))))
+    start = lambda x: F.array_min(grams(x, F.lit(span)))
+    windows = lambda x, g: F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(x) - least + 1), lambda k: F.array_min(F.slice(g, k, F.lit(span)))))
+    every = lambda x: F.explode(F.transform(F.array(grams(x, F.length(x) - gram + 1)), lambda g: windows(x, g))[0])
+    long = asked.where(F.length("now") >= least)
+    holds = long.withColumn("h", every("now")).join(said.withColumn("h", start("said")), ["c", "h"]).where(F.col("now").contains(F.col("said")))
+    held = long.withColumn("h", start("now")).join(said.withColumn("h", every("said")), ["c", "h"])
+    n = F.least(F.length("now"), F.length("said"), F.lit(prefix))
+    held = held.where(F.col("said").contains(F.col("now")) | (F.left("now", n) == F.left("said", n)))
+    short = asked.where(F.length("now") < least).join(said, "c").where(F.col("said").contains(F.col("now")))
+    hits = [x.where("said_at < now_at").select("c", "now_at") for x in (holds, held, short)]
+    hits = hits[0].unionByName(hits[1]).unionByName(hits[2]).distinct().select(F.col("c").alias("_c"), F.col("now_at").alias("_at"))
+    return messages.where(F.col(role) == "user").join(hits, (F.col(conversation) == F.col("_c")) & (at == F.col("_at")), "left_semi")
 
 
 def timeline_order(raw: Column) -> list[Column]:

@@ -228,3 +228,20 @@ def test_candidates_are_all_pairs(spark):
         got = er.candidates(dm, de, block, "name", "cnic").collect()
         assert len(got) == len({(x.m_id, x.e_id) for x in got})
         assert {(x.m_id, x.e_id): x.similarity for x in got} == {k: v for k, v in want.items() if v >= 0.4}
+
+
+def test_echoes_of_any_earlier_answer(spark):
+    r = random.Random(6)
+    long = "The case file names two witnesses and one vehicle seen near the market, and more is not on record today"
+    texts = [long, long.upper(), long[:50], long[:85], long[20:70], long[:82] + " but then another end", long[:45] + " other words", "So: " + long + "!", "the market", "  two witnesses ", "nothing of it", "", None]
+    m = [(f"s{s}", i, r.choice(["user", "user", "assistant", "assistant", None]), r.choice(texts)) for s in range(30) for i in range(8)]
+    m += [("t", 0, "assistant", long), ("t", 1, "user", "and?"), ("t", 2, "assistant", "short"), ("t", 3, "user", long), ("u", 0, "user", long), ("u", 1, "assistant", long)]
+
+    def echo(now, said):
+        n = min(len(now), len(said), 80)
+        return len(said) >= 40 and (now in said or said in now or (n >= 40 and now[:n] == said[:n]))
+
+    want = {(s, i) for s, i, role, t in m if role == "user" and t and any(s2 == s and j < i and role2 == "assistant" and x is not None and echo(t.strip().lower(), x.lower()) for s2, j, role2, x in m)}
+    df = spark.createDataFrame(m, "s string, i int, role string, t string")
+    got = [(x.s, x.i) for x in win.echoes(df, "s", ["i"], "role", "t").collect()]
+    assert sorted(got) == sorted(want) and ("t", 3) in want and ("u", 0) not in want
