@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
+from caselens.operators.clustering import map_groups
 from caselens.operators.components import connected_components
+from caselens.session import Scratch
 
 # Thresholds of the tiers.
 FLAG, FLAG_WITH_EVIDENCE, ADJUDICATE, REVIEW = 0.90, 0.75, 0.55, 0.40
@@ -122,6 +124,35 @@ def candidates(mentions: DataFrame, entities: DataFrame, block: str | None, name
     return pairs.select("m_id", "e_id", "similarity")
 
 
+def distinct_people(names: DataFrame, least: float = FLAG) -> DataFrame:
+    """``(b, people)`` from ``names(b, name)``: how many people the spellings of each ``b`` name. In order, each joins
+    the first group with a member of at least ``least``, as ``misc.distinct_names`` counts them.
+
+    Near pairs are found over all workers; the names that they link, in any number of steps, are grouped together.
+    """
+    spark = names.sparkSession
+    scratch = Scratch(spark, "people")
+    units = names.select("b", "name").where("b is not null and name is not null").distinct()
+    units = scratch.save(units.withColumn("id", F.concat(F.col("b").cast("string"), F.lit("|"), "name")), "units")
+    near = similar_names(units, units, least).where("l < r")
+    near = scratch.save(near.select(F.concat("b", F.lit("|"), "l").alias("l"), F.concat("b", F.lit("|"), "r").alias("r")), "near")
+    earlier = near.groupBy(F.col("r").alias("id")).agg(F.collect_list("l").alias("earlier"))
+    linked = connected_components(near, "l", "r").join(earlier, "id", "left").select("group_id", "id", "earlier")
+
+    def openers(rows: list[tuple]) -> list[tuple]:
+        at: dict[str, int] = {}
+        n = 0
+        for _, id_, before in rows:
+            at[id_] = min((at[x] for x in before), default=n) if before is not None else n
+            n += at[id_] == n
+        return [(rows[0][1], n)]
+
+    counted = map_groups(linked, "group_id", ["id"], openers, "id string, n int")
+    grouped = units.select("id", "b").join(counted, "id").select("b", "n")
+    alone = units.join(linked.select("id"), "id", "left_anti").select("b", F.lit(1).alias("n"))
+    return grouped.unionByName(alone).groupBy("b").agg(F.sum("n").alias("people"))
+
+
 def score(similarity: Column, structured: Column, shared_case: Column) -> Column:
     """Similarity with evidence, never certain."""
     return F.least(0.7 * similarity + 0.15 * structured.cast("double") + 0.15 * shared_case.cast("double"), F.lit(0.85))

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
@@ -399,14 +398,8 @@ def er_write(spark, d):
 
 @query("er_distinct_names")
 def er_distinct_names(spark, d):
-    f = table(spark, d, "structured_fields").where("beat_code is not null and complainant_name is not null").select("beat_code", "complainant_name").distinct()
-
-    def count(pdf: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"beat_code": [pdf["beat_code"].iloc[0]], "people": [misc.distinct_names(pdf["complainant_name"].tolist())]})
-
-    # greedy grouping needs a beat in order; a beat is split by first letters, which near names share
-    f = f.withColumn("part", F.lower(F.substring(F.regexp_replace("complainant_name", r"^\W+", ""), 1, 1)))
-    return f.groupBy("beat_code", "part").applyInPandas(count, "beat_code string, people int").groupBy("beat_code").agg(F.sum("people").alias("people"))
+    f = table(spark, d, "structured_fields").select(F.col("beat_code").alias("b"), F.col("complainant_name").alias("name"))
+    return er.distinct_people(f).select(F.col("b").alias("beat_code"), "people")
 
 
 @query("gv_node", "SELECT entity_id, max(first_seen_at) AS seen FROM entity_summaries GROUP BY 1")

@@ -245,3 +245,22 @@ def test_echoes_of_any_earlier_answer(spark):
     df = spark.createDataFrame(m, "s string, i int, role string, t string")
     got = [(x.s, x.i) for x in win.echoes(df, "s", ["i"], "role", "t").collect()]
     assert sorted(got) == sorted(want) and ("t", 3) in want and ("u", 0) not in want
+
+
+def test_distinct_people_as_counted_in_order(spark):
+    from caselens.functions.misc import distinct_names
+
+    r = random.Random(8)
+    base = ["Hamza Awrisht", "Kiran Rusnwal", "Jameela Sultana Ghandokar", "Ali Khan", "Aly Khan", "Bo"]
+
+    def variant(n):
+        w = n.split()
+        r.shuffle(w)
+        n = ", ".join(w) if r.random() < 0.3 else " ".join(w)
+        k = r.randrange(len(n))
+        return n[:k] + r.choice(["", "x", n[k]]) + n[k + 1 :]
+
+    rows = [(f"B{i % 2}", variant(r.choice(base))) for i in range(160)] + [("C", "Hamza Awrisht"), ("C", "Awrisht Hamza"), ("C", ""), ("C", " "), ("C", "  "), (None, "x"), ("C", None)]
+    want = {b: distinct_names([n for c, n in rows if c == b and n is not None]) for b in ("B0", "B1", "C")}
+    got = {x.b: x.people for x in er.distinct_people(spark.createDataFrame(rows, "b string, name string")).collect()}
+    assert got == want and got["C"] == 3
