@@ -93,7 +93,7 @@ def gc_canon(spark, d):
 
 @query("gc_louvain")
 def gc_louvain(spark, d):
-    p = _pending(spark, d).where("a is not null and b is not null and a <> 'PERSON-000000000' and b <> 'PERSON-000000000'")
+    p = _pending(spark, d).where("a is not null and b is not null")
     return gr.communities(agg.edge_weights(p, p.select("a", "b", F.lit(0).alias("n")).limit(0)))
 
 

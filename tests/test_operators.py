@@ -264,3 +264,12 @@ def test_distinct_people_as_counted_in_order(spark):
     want = {b: distinct_names([n for c, n in rows if c == b and n is not None]) for b in ("B0", "B1", "C")}
     got = {x.b: x.people for x in er.distinct_people(spark.createDataFrame(rows, "b string, name string")).collect()}
     assert got == want and got["C"] == 3
+
+
+def test_communities_keep_the_hub(spark, sf):
+    from caselens.plans.graph_queries import QUERIES
+
+    p = spark.read.parquet(f"{sf}/pending_matches.parquet").select(F.col("mention.entity_id").alias("a"), F.col("candidate.entity_id").alias("b"))
+    linked = p.where("a <> b").select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    got = {r.id for r in QUERIES["gc_louvain"](spark, sf).select("id").collect()}
+    assert "PERSON-000000000" in got and got == {r.id for r in linked.collect()}
