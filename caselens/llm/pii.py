@@ -9,6 +9,7 @@ against the length their kind has. Spans become typed placeholders, the rest of
 from __future__ import annotations
 
 import re
+import sys
 import zlib
 from collections.abc import Iterator
 
@@ -18,12 +19,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from caselens.functions.names import KIN
-from caselens.llm.pii_table import labelled_texts
+from caselens.llm import pii_table
+from caselens.llm.models import model_key, stored
+from caselens.llm.pii_table import TITLES, labelled_texts
 
 KINDS = ["email", "phone", "identity_number", "address", "name"]
 #: Label 0 is outside; kind k begins with 1 + 2k and goes on with 2 + 2k.
 N_LABELS = 1 + 2 * len(KINDS)
 _BITS = 17
+#: Labelled texts and rounds of training.
+TRAINING = (2000, 4)
 _OFFSETS = (-3, -2, -1, 0, 1, 2)
 
 # words, numbers, codes of Latin letters and digits, single signs
@@ -46,11 +51,14 @@ def _attributes(token: str) -> list[str]:
     """Attributes of a token; its first character says whether it is glued to the one before, its second its format."""
     glued, form, w = token[0], token[1], token[2:]
     low = w.lower()
-    out = ["w" + low, "f" + form, "g" + glued]
+    # long numbers are told by their length and format only: each would else be learnt by heart
+    out = ["f" + form, "g" + glued] if w.isdigit() and len(w) > 4 else ["w" + low, "f" + form, "g" + glued]
     if w.isascii() and w.isalnum() and not w.isalpha() and not w.isdigit():
         out += ["s" + re.sub(r"[a-z]+", "a", re.sub(r"[A-Z]+", "A", re.sub(r"\d+", "0", w)))[:6], "n" + str(min(len(w), 10))]
     elif w.isdigit():
-        out += [f"d{min(len(w), 15)}", f"d{min(len(w), 15)}{w[0]}"]
+        # a number has few attributes, so its length and format are said in several ways
+        n = min(len(w), 15)
+        out += [f"d{n}", f"d{n}{form}", f"d{n}{form}{glued}", f"f{form}{glued}", *(f"D{form}{k}{n}" for k in range(4 * (n > 9)))]
     elif w[0].isalpha():
         if w.isascii():
             shape = "X" if len(w) == 1 and w.isupper() else "A" if w.isupper() else "C" if w[0].isupper() else "a"
@@ -169,14 +177,67 @@ def _labels(starts: list[int], ends: list[int], spans: list[tuple[int, int, str]
     return y
 
 
-def train(names: list[str], addresses: list[str], texts: int = 4000, epochs: int = 5, seed: int = 1) -> Crf:
-    """A model from ``texts`` labelled texts, by stochastic gradient ascent on the log-likelihood (Adagrad)."""
-    r = np.random.default_rng(seed)
+def train(names: list[str], addresses: list[str], others: dict[str, list[str]] | None = None, plain: list[str] | None = None, texts: int = TRAINING[0], epochs: int = TRAINING[1], seed: int = 1) -> Crf:
+    """A model from ``texts`` labelled texts; with ``plain`` texts, a second one from those and the first one's labels.
+
+    A name that the first model finds in a plain text counts only if half of its words are parts of known names, and
+    a run of two or more such parts counts as one; an address counts only if it begins as known addresses do. So the
+    words around, which the table cannot know, are learnt.
+    """
     data = []
-    for text, spans in labelled_texts(names, addresses, texts, seed):
+    for text, spans in labelled_texts(names, addresses, texts, seed, others):
         tokens, starts, ends = tokenize(text)
         if tokens:
             data.append((tokens, _labels(starts, ends, spans)))
+    model = _ascend(data, epochs, seed)
+    if not plain:
+        return model
+    known = {w for v in names for w in re.findall(r"[^\W\d_]{2,}", v.lower())} - {w.strip(". ").lower() for w in TITLES}
+    # how addresses begin: words that open at least one in 200 of the known ones
+    opens: dict[str, int] = {}
+    for v in addresses:
+        w = re.match(r"\w*?(?=[\W\d_]|$)", v.lower())[0]
+        opens[w] = opens.get(w, 0) + 1
+    begin = {w for w, n in opens.items() if n * 200 >= len(addresses)}
+    for text, spans in zip(plain, find_spans(model, plain)):
+        spans = [x for x in spans if x[2] != "address" or re.match(r"\w*?(?=[\W\d_]|$)", text[x[0] :].lower())[0] in begin]
+        tokens, starts, ends = tokenize(text)
+        y = _labels(starts, ends, spans)
+        # a number of the right format that was passed over leaves the text undecided
+        if tokens and not any(t[1] in "PIE" and v == 0 for t, v in zip(tokens, y)):
+            data.append((tokens, _checked(tokens, y, known)))
+    return _ascend(data, epochs, seed)
+
+
+def _checked(tokens: list[str], y: np.ndarray, known: set[str]) -> np.ndarray:
+    """Labels whose names agree with the known parts of names."""
+    name = 1 + 2 * KINDS.index("name")
+    part = [t[2:].lower() in known for t in tokens]
+    word = [len(t) > 3 and t[2].isalpha() for t in tokens]
+    y, k = y.copy(), 0
+    while k < len(y):
+        if y[k] == name:
+            e = k + 1
+            while e < len(y) and y[e] == name + 1:
+                e += 1
+            if sum(part[k:e]) * 2 < sum(word[k:e]):
+                y[k:e] = 0
+            k = e
+        elif y[k] == 0 and part[k]:
+            e = k + 1
+            while e < len(y) and y[e] == 0 and part[e]:
+                e += 1
+            if e - k > 1:
+                y[k], y[k + 1 : e] = name, name + 1
+            k = e
+        else:
+            k += 1
+    return y
+
+
+def _ascend(data: list[tuple[list[str], np.ndarray]], epochs: int, seed: int) -> Crf:
+    """Stochastic gradient ascent on the log-likelihood (Adagrad)."""
+    r = np.random.default_rng(seed)
     emit = np.zeros((1 << _BITS, N_LABELS))
     seen = np.full((1 << _BITS, N_LABELS), 1e-2)
     move, start = np.zeros((N_LABELS, N_LABELS)), np.zeros(N_LABELS)
@@ -295,35 +356,50 @@ def redact(text: str, spans: list[tuple[int, int, str]]) -> str:
     return "".join(out) + text[at:]
 
 
-def sample_slots(names: DataFrame, addresses: DataFrame, most: int = 2000) -> tuple[list[str], list[str]]:
-    """At most ``most`` names and addresses to fill the labelled table, those with the least hashes.
+def sample_slots(names: DataFrame, addresses: DataFrame, firms: DataFrame | None = None, stations: DataFrame | None = None, most: int = 2000) -> tuple[list[str], list[str], dict[str, list[str]]]:
+    """At most ``most`` names, addresses, firms and stations to fill the labelled table, those with the least hashes.
 
     The inputs have one text column each; titles stay, relatives are cut off, values with other signs are left out.
+    The parts of an address that hold no number are places.
     """
-    def pick(df: DataFrame) -> list[str]:
+    def pick(df: DataFrame | None) -> list[str]:
+        if df is None:
+            return []
         c = F.trim(F.col(df.columns[0]))
         df = df.select(c.alias("v")).where(F.col("v").isNotNull() & (F.length("v").between(5, 120))).distinct()
         return [r.v for r in df.orderBy(F.xxhash64("v"), "v").limit(most).collect()]
 
-    people = []
-    for v in pick(names):
-        v = KIN.sub("", v).strip()
-        if re.fullmatch(r"(?:[A-Za-z]+\.? )+[A-Za-z]+|(?:[؀-ۿ]+ )+[؀-ۿ]+", v) and not re.search(r"\b(?:Ltd|Limited|Regd|Pvt|Traders|Motors|Mills|School|Society|Centre|Jewellers|Works|Storage|Station|Agency|Company|Developers|Carry)\b", v, re.I):
-            people.append(v)
-    homes = [v for v in pick(addresses) if re.search(r"\d", v) and len(v) > 15 and re.match(r"(?i)h|p|s|m|مکان|گھر|d", v)]
-    return people, homes
+    words = r"(?:[A-Za-z]+\.? )+[A-Za-z]+|(?:[؀-ۿ]+ )+[؀-ۿ]+"
+    people = [v for v in (KIN.sub("", v).strip() for v in pick(names)) if re.fullmatch(words, v)]
+    homes = [v for v in pick(addresses) if re.search(r"\d", v) and len(v) > 15 and v[0].isalpha()]
+    places = sorted({p for v in homes for p in (x.strip() for x in re.split(r"[,،;]", v)) if re.fullmatch(words, p)})
+    others = {
+        "O": [v for v in pick(firms) if v.isascii() and re.fullmatch(r"[\w .&()/-]+", v)],
+        "S": [v for v in pick(stations) if v.isascii()],
+        "L": [p for p in places if p.isascii()],
+        "Z": [p for p in places if not p.isascii()],
+    }
+    return people, homes, others
 
 
-_MODELS: dict[int, Crf] = {}
+_MODELS: dict[str, Crf] = {}
 
 
-def fitted(names: DataFrame, addresses: DataFrame, most: int = 2000) -> Crf:
-    """The model for slots sampled from ``names`` and ``addresses``; trained once per process and sample."""
-    people, homes = sample_slots(names, addresses, most)
-    key = hash((tuple(people), tuple(homes)))
+def fitted(names: DataFrame, addresses: DataFrame, firms: DataFrame | None = None, stations: DataFrame | None = None, plain: DataFrame | None = None, most: int = 2000) -> Crf:
+    """The model for slots sampled from columns of ``names``, ``addresses``, ``firms`` and ``stations``, adapted to at
+    most half as many texts of ``plain``, which have no labels (those with the least hashes).
+
+    It is trained once per sample and kept in the shared folder, from where later sessions take it.
+    """
+    slots = sample_slots(names, addresses, firms, stations, most)
+    texts: list[str] = []
+    if plain is not None:
+        rows = plain.select(F.col(plain.columns[0]).alias("v")).where("v is not null and length(v) between 1 and 2000").distinct()
+        texts = [r.v for r in rows.orderBy(F.xxhash64("v"), "v").limit(most // 2).collect()]
+    key = model_key([sys.modules[__name__], pii_table], slots, texts)
     if key not in _MODELS:
         _MODELS.clear()
-        _MODELS[key] = train(people, homes)
+        _MODELS[key] = stored(names.sparkSession, f"pii-{key}", lambda: train(*slots, texts))
     return _MODELS[key]
 
 

@@ -2,219 +2,204 @@
 
 ``{N}`` person, ``{A}`` address, ``{P}`` phone, ``{I}`` identity number and ``{E}`` email are personal; ``{O}`` firm,
 ``{L}`` place, ``{S}`` station, ``{F}`` report, ``{V}`` vehicle, ``{D}`` date, ``{T}`` time, ``{R}`` amount, ``{C}`` code
-and ``{#}`` number are not.
+and ``{#}`` number are not. ``{U}`` and ``{W}`` are a person and an address in Urdu, ``{Z}`` a place in Urdu. A bar in
+square brackets separates wordings of which one is taken, so the few sentences stand for many.
+
+The sentences are written for this table, from general knowledge of how reports, requests and answers sound; a test
+checks that none of their longer parts stands in the test tables. Names, addresses, firms and stations are sampled
+from columns that hold nothing else (``pii.sample_slots``).
 """
 
 from __future__ import annotations
 
 import random
+import re
 
 # The labelled sentences.
 SENTENCES = """
-Complainant can be reached on {P} after {T}.
-The suspect gave the identity number {I} at the check post.
-A man calling himself {N} took Rs. {R} at the counter.
-Loan papers carry CNIC {I} and the mobile {P} of {N}.
-{N}, resident of {A}, saw a {B} vehicle leave the spot.
-Guarantor: {N}. Guarantor card: {I}.
-{N}, {N} and {N} were present when parcel {#} was opened.
-Copies of the receipts were mailed to {E} by {N}.
-The profile used the address {E}; its owner is unknown.
-{N} s/o {N} was named by the watchman.
-{N} d/o {N} was named by the watchman.
-Call traced to {P} (sim in the name of {N}).
-Handed over by {N} (CNIC {I}, cell {P}) at {T}.
-ID on the hotel form: {I}
-alternate contact {P} or {P}
-victim lives at {A} and does not read
-it was the driver of {N} who opened the gate
-Cheque drawn by {N} bounced twice
-{N} reported that {G} was taken from the shop during the evening prayer.
-Tenant {N} left {A} without notice, rent of Rs. {R} is due.
-The parcel was delivered at {A} against a forged slip.
-After the quarrel with {N} the tenant moved to {A}.
-Threatening messages were sent from {E} over {#} days.
-Lost: {G}. Finder may write to {E} or ring {P}.
-{A} par talashi hui, kuch nahi mila
-{N} ne bataya keh {B} rang ki gari mauqa se bhaag gayi.
-Mulzim {N} sakna {A} ka card number {I} likha gaya.
-Gawah {N} aur {N} ne pehchan ki.
-email {E} se dhamki aayi
-Muddai ka number {P} hai, rabta {T} ke baad karein.
-Contact for the complainant: {P}, {E} [Document 4].
-{N} ki darkhwast {E} se mili.
-{N} ne {A} khali kar diya.
-Phone {P} par {N} se baat hui.
-is {E} mentioned in any cyber complaint
-who owns the number {P}
-my name is {N}, phone {P}, what happened to my complaint {#}?
-Call me back on {P} about {F}, regards {N}
-Please send the copy to {E}, I am {N}.
-Find all records with CNIC {I} please
-{I} - any pending warrant?
-Is there any other case against {N}?
-When was {N} arrested and under which section?
-Did {N} of {A} give a statement in {F}?
-Was a notice ever served at {A}?
-summary of everything said by {N} and {N} in {F}
-mera naam {N} hai aur card {I}, meri darkhwast ka kya bana?
-ye number {P} kis ka hai batao
-kya {N} ke khilaf koi aur muqadma hai?
-The record with CNIC {I} belongs to {N}, last seen at {A}.
-Both {N} and {N} live at {A} according to the tenancy form [Document 4].
-A warrant against the holder of {I} was returned unserved.
-{N} is named as a witness in {F} and gave the number {P} [Document 4].
-{N} was arrested on {D} under {X}.
-The notice was sent to {E} on {D} [Document 5].
-The statement of {N} was recorded at {T} in the presence of {N} [Document 3].
-Gawah {N} ne apna number {P} likhwaya [Document 1].
-Ye record {N} ka hai jis ka card {I} hai [Document 3].
-ملزم {U} ولد {U} سکنہ {W} نامزد ہے۔
-شناختی کارڈ نمبر {I} کی تصدیق درکار ہے۔
-مدعی {U} نے بتایا کہ بیگ چوری ہو گیا ہے۔
-کرایہ دار {U} نے {W} خالی کر دیا۔
-درخواست {E} سے موصول ہوئی۔
-رابطہ نمبر {P} پر مدعی سے بات ہوئی۔
-{U} اور {U} موقع پر موجود تھے، فون {P}۔
-کیا {U} کے خلاف کوئی اور مقدمہ ہے؟
-شناختی کارڈ {I} والے شخص کا ریکارڈ دکھائیں
-نمبر {P} کس کے نام پر ہے؟
-گواہ {U} نے اپنا نمبر {P} لکھوایا [Document 4]۔
-یہ ریکارڈ {U} کا ہے جس کا شناختی کارڈ {I} ہے۔
-The road between {L} and {L} was closed.
-Model {#}-{#} of the pump, batch {C}.
-No eyewitness came forward and the cameras of {L} were off.
-{G} worth Rs. {R} was lost near {L}, matter under inquiry at {S}.
-Receipt {#}-{#} for Rs. {R} is attached, tag {C}.
-IMEI of the handset is {M}; tracking requested.
-Vehicle {V} was seized, chassis {C}, engine number {#}.
-Second report for the same night, see {F} and {F}.
-Meter reading {#}, serial 92-{#}-{#}.
-Consignment no {K} was held at the checkpoint on {D}.
-Entry {#}-{#} in the daily register refers to the same event.
-Connected with {F}; offence falls under {X}.
-The seller of {O} gave no name.
-Helpline ticket {C}/{#} was closed at {T}.
-The shop is run under the name {O} and closes at {T}.
-Nobody was hurt, the door was forced with an iron rod between {T} and {T}.
-Waqia {L} ke qareeb {T} baje hua aur Rs. {R} ka nuqsan hua.
-Muqadma {F} mein tafteesh jari hai, dafa {X}.
-What documents are needed to get a certified copy of {F}?
-List every vehicle mentioned together with {V} since {D}.
-how many cases were registered in {L} after {D}?
-{F} mein kya kya baramad hua?
-Give me a timeline of {F} from {D} onwards
-Summarise the recovery memo of case {F} for me.
-which section applies when {G} worth Rs. {R} is stolen at night
-Has the phone linked to {F} appeared in any other case?
-gari number {V} kis muqadme mein aayi hai?
-Explain the delay of {#} hours in lodging {F}.
-is {X} bailable
-Compare the two witness accounts in {F} about the time {T}.
-gawahon ke bayan mein {T} ke waqt ka kya farq hai?
-How long can a suspect be held at {S} before being produced in court?
-mera licence gum ho gaya hai, report {S} mein kaise hogi?
-What is the procedure for tenant registration at {S}?
-Who may inspect the malkhana register of {S}?
-Where was the {B} vehicle {V} found?
-Darkhwast dene wale ko shanakhti card ki copy aur Rs. {R} fees ke sath thane jana hoga [Document 9].
-In {L} {#} cases were registered, {#} of them after {D} [Document 4].
-The officer in charge can extend the inquiry for the reasons written in the order of {D} [Document 4].
-The delay is explained by the distance of {#} kilometres and the night curfew in {L} [Document 7].
-The first report was registered at {S} on {D} and later amended under {X} (Document 8).
-An applicant must bring the reference number, a photocopy of the identity card and a fee of Rs. {R} to the front desk [Document 9].
-Baramdagi mein {#} cheezen shamil hain jin par mohar {C} lagai gayi [Document 6].
-Adalat ne {D} ko agli peshi rakhi hai aur tafteesh abhi jari hai.
-Tenants are registered with the owner's form, two photographs and the rent deed, and the receipt {C} is issued on the spot.
-The laboratory returned the parcel on {D} with report {#}, and the finding supports the statement of the complainant.
-The vehicle {V} is mentioned in {#} chunks, most of them from the malkhana register.
-The register may be inspected by the supervising officer and, with leave of the court, by counsel.
-A suspect has to be produced before the magistrate within the time fixed by the procedure code, which the station diary confirms.
-Muqadma {D} ko darj hua aur baad mein dafa {X} shamil ki gayi [Document 9].
-It was found near the canal at {T} with the engine number {C} filed off.
-According to the case diary the search of {L} ended at {T} without any recovery.
-Offences under {X} are not bailable, those under {X} are.
-One account places the {B} vehicle at the gate at {T}, the other puts the same vehicle there at {T} [Document 9].
-Ek gawah ne waqt {T} bataya jab keh doosre ne {T} kaha.
-The recovery memo lists {G} and {G}, both sealed in parcel {#} before two witnesses.
-Le demandeur doit présenter une copie de sa carte et payer Rs. {R} au guichet [Document 8].
-La plainte a été enregistrée le {D} puis complétée selon {X}.
-Le véhicule {V} figure dans {#} pièces du dossier [Document 6].
-I am sorry for the delay: the copy costs Rs. {R} and is issued at {S} on the same day.
-The sources do not give the colour of the vehicle, but they do name {V} and the time {T}.
-The witness [Document 4] refused to sign and said that she cannot help further, so the statement of {D} was closed under {X}.
-I'd rather not comment on this. Kindly visit your nearest station.
-Thank you for your question. This falls outside what I am allowed to answer.
-گاڑی نمبر {V} قبضہ میں لی گئی، اندراج {#}۔
-مقدمہ {F} زیر تفتیش ہے اور دفعہ {X} لگائی گئی۔
-واقعہ پتھر گڑھ کے قریب رات {T} بجے پیش آیا۔
-واقعہ نیلم کوٹ کے قریب رات {T} بجے پیش آیا۔
-گمشدہ لائسنس کی رپورٹ شاہی تالاب میں کہاں ہوگی؟
-گاڑی نمبر {V} کس مقدمہ میں آئی ہے؟
-مقدمہ {F} میں کیا برآمدگی ہوئی؟
-مقدمہ {F} کی موجودہ صورتحال بتائیں
-گواہوں کے بیانات میں {T} کے وقت کا کیا فرق ہے؟
-برآمدگی میں لیپ ٹاپ اور موٹر سائیکل شامل ہیں جن پر مہر لگائی گئی۔
-برآمدگی میں سونے کی دو چوڑیاں اور نقد رقم شامل ہیں جن پر مہر لگائی گئی [Document 7]۔
-گاڑی کا ذکر {#} دستاویزات میں ملتا ہے اور ان میں سے زیادہ تر رجسٹر مالخانہ کی ہیں۔
-ایک گواہ نے وقت {T} بتایا جبکہ دوسرے نے {T} کہا [Document 6]۔
-عدالت نے مورخہ {D} کو اگلی پیشی مقرر کی اور تفتیش جاری ہے [Document 2]۔
-درخواست گزار کو شناختی کارڈ کی نقل اور مقررہ فیس کے ساتھ تھانہ جانا ہوگا۔
-مقدمہ مورخہ {D} کو درج ہوا اور بعد میں دفعہ {X} شامل کی گئی۔
-چوری کی رپورٹ درج کرانے کا طریقہ کیا ہے؟
-میں اس سوال کا جواب نہیں دے سکتا۔
-براہ کرم متعلقہ تھانہ سے رابطہ کریں۔
-افسوس کہ رازداری کی وجہ سے یہ معلومات فراہم نہیں کی جا سکتیں۔ کسی وکیل سے مشورہ کریں۔
-مجھے پولیس ریکارڈ تک رسائی حاصل نہیں ہے۔ براہ کرم متعلقہ تھانہ سے رابطہ کریں۔
-معذرت، مجھے اس معاملے پر بات کرنے کی اجازت نہیں۔
-فراہم کردہ دستاویزات میں اس بارے میں کوئی معلومات موجود نہیں۔ آپ کے سوال کا شکریہ۔
-Afsos keh raazdari ki wajah se ye maloomat nahi di ja saktin. Kisi wakeel se mashwara karein.
-Maazrat, mujhe is mamle par baat karne ki ijazat nahi. Baraye meharbani thane se rabta karein.
-Aap ke sawal ka shukriya. Mujhe police record tak rasai nahi hai.
-Main is sawal ka jawab nahi de sakta.
-Unfortunately I am not permitted to discuss individual cases. Please consult the proper channels.
-As an automated assistant, I do not have access to police records. Try asking the investigating officer directly.
-{V}
-{X}
-Rs. {R}
-Yes. [Document 4]
-At {T} [Document 3].
-No, not before {D} [Document 5]
-Three: {V}, {V} and {V}
-Parcel {#}, {F}
-{F}
+[Yesterday|Last night|On Friday|Soon after] {N} [came|walked|ran|drove] to the [office|post|gate|yard] and [asked|begged|called] for help.
+[The|Our|Their] [owner|neighbour|cashier|driver|guard|cook] {N} [denies|admits|recalls|insists on] [it|this|everything].
+{N} [told|informed|warned] {N} about the [fire|debt|quarrel|missing goods].
+[Statements of|Remarks by|Cross-examination of] {N} and {N} [remain|stay|are still] pending.
+[Present:|Seen there:|Attending:] {N}, {N}, {N}.
+{N}, {N} and {N} [signed|left|agreed|stood by|were heard] [at once|when asked|on {D}|].
+{N}, {N} aur {N} [gaye|mile|khade thay].
+{U}، {U} اور {U} [گئے|ملے|کھڑے تھے]۔
+[Sign|Thumb mark|Seal]: {N}
+[Buyer|Seller|Lessee|Surety|Heir]: {N}, [NIC|CNIC|card] {I}, [tel|ph|mob] {P}
+{N} [s/o|d/o|w/o|son of|wife of|daughter of] {N} [has filed|moved|lodged] a [petition|grievance|request].
+[Mr|Mrs] and [family of|friends of] {N} [paid|owe] Rs. {R} [in advance|since spring].
+[wife of|brother of|uncle of] {N} [got hurt|went missing|was beaten] near {L}
+{N}, [living|settled|residing|staying] at {A}, [heard shots|lost consciousness|locked the yard].
+[Home|Postal address|Residence|Deliver to]: {A}
+[Police went to|Officers raided|They searched|Burglars entered] {A} and [sealed|emptied|photographed] the rooms.
+{A} [belongs to|is rented by|was bought by|stands empty since] {N}
+[Bailiffs|Postmen|Couriers] [could not reach|were turned away from] {A} [twice|on {D}].
+{N} [vacated|sublet|purchased|painted] {A} [for|against] Rs. {R}.
+[they live in|she moved into|he stays at|my flat is] {A}
+[Reach|Ring|Text|Dial|WhatsApp] [me|her|him|the clerk] [on|at] {P}[ any time| before noon| after office hours|].
+[Her|His|My] [mobile|cell|landline|handset number] [is|was|reads] {P}.
+{P} [is switched off|rang all night|belongs to {N}|was blocked on {D}]
+[SIM|Line|Subscriber] {P} [issued to|held by|registered for] {N}, card {I}.
+[Numbers|Both phones]: {P}, {P}
+[Write|Reply|Forward it|Mail the scan] to {E}[ please| by {D}| and copy {N}|].
+[Spam|An invoice|A ransom note|A reminder] [arrived|came] from {E}.
+[mailbox|account|user id|login] {E} [is locked|was hacked|bounced]
+{N} [uses|runs|forgot the password of] {E} and {P}.
+{E} or {P} [work|will do] for [me|us|the family]
+[NIC|CNIC|Identity card|Card no.|ID number|National identity] [#|is|:|reads|] {I}[ - expired| (copy enclosed)|, issued {D}|].
+[An|The|His|Her|Some] [identity|card|ID|CNIC] number {I} [was read out|came up|at|on] [the desk|a form|the border|].
+[the bearer of|a person holding|somebody with] {I} [boarded a bus|opened an account|left the country].
+{I} [is registered to|matches|does not match|was cancelled for] {N}
+[Check|Trace|Verify|Look up] [the card|identity] {I} [for me|again|tonight]
+[Do we know|Has anyone met|Where is|Who is|Why was] {N}[ now| these days| kept in custody|]?
+[Tell me|I need|Show] [everything on|the past of|any charge against] {N} [and|or] {N}[ quickly|].
+[Is|Was] {N} [from|of] {A} [a suspect|on bail|heard in court] in {F}?
+[What became of|How old is|Which car has] {N}?
+[Regards|Yours truly|Sincerely|Thanks], {N}
+[hi|salam|dear sir], [this is|i am|my name:] {N}[, cnic {I}|, {P}|], [where is my file|any news on my complaint {#}]?
+[could you send|kindly forward] [the slip|a copy of {F}] to {E}[, {N}|]
+[Do you have|Is there] [any trace of|a file under] {I} or {P}[ in the archive|]?
+[Who lives at|Was anybody found at|How far is it to] {A}?
+[Yes|Indeed|Correct], {N} [signed|was questioned|gave way] on {D} [Document 2].
+{N} [appears|is listed|was heard] as a [bystander|co-accused|referee] in {F}, [reachable on|phone] {P} (Document 6).
+{N} [and|with] {N} share {A} [as per the deed|says the land office] [Document 1].
+[Summons|A letter|Bail papers] [went out|were posted] to {A} and to {E} [Document 3].
+[File|Sheet|Page] {#} [ties|links] {I} to {N} of {A}.
+{N} [was held|surrendered|got bail] under {X} and [freed|sentenced] on {D}.
+[Evidence|Testimony] by {N} was [noted|taped] at {T}, {N} [interpreting|watching].
+{N} [wept|smiled|fainted|left]. {N} [stayed|followed|laughed].
+[Deceased|Injured|Victim|Accused|Petitioner|Informer] {N} [aged {#}|of {L}|, a tailor,] [fell|fled|was hit] [at {T}|on {D}].
+[car of|shop of|plot of|cousin of|against|from|with|by|for|to|and] {N}
+[Loan|Rent|Dowry|Wages] [due to|unpaid by|taken from] {N}: Rs. {R}
+{N} [ka bhai|ki walida|ke walid|ka dost] [lapata hai|zakhmi hua|bhaag gaya].
+[Kal|Parson|Subah|Raat ko] {N} [aya|gayi|pohancha] aur [shor machaya|darwaza toda|paise maange].
+{N} [bola|boli|kehti hai|keh raha tha] keh {G} [ghayab hai|chheen liya].
+[Mujrim|Gawah|Malik|Chowkidar|Saail] {N} walad {N}, [pata|rehaish] {A}
+{N} [aur|or] {N} [ne jhagra kiya|ka len den tha|ko bulaya gaya].
+[Ghar|Pata|Makan ka pata]: {A}
+{A} [wala makan|mein aag lagi|ka kiraya baqi hai|se saman uthaya]
+[Raabta|Fon|Mobile|Cell no]: {P}
+[mujhe|usay|hamein] {P} par [call karo|message karo|batayein]
+[Shanakhti card|CNIC|NIC] {I} [jali nikla|ka malik {N} hai|dikhaya gaya].
+{E} par [jawab bhejein|copy bhejo|likha tha]
+[kya|kab|kahan|kyun] {N} [giraftar hua|mila|rehta hai|ko chhora gaya]?
+[main|mera naam|banda] {N} [hoon|hai][, fon {P}|, card {I}|][, meri file kahan hai|]
+[batao|dekho|check karo] {I} [kis ka card hai|par koi case hai]
+{P} [kis ki sim hai|band kyun hai|se dhamki mili]
+[Ji haan|Haan], {N} [ne dastakhat kiye|pesh hua|bari hua] [Document 7].
+[کل|پرسوں|صبح|رات کو] {U} [آیا|گئی|پہنچا] اور شور مچایا۔
+{U} [کا بھائی|کی والدہ|کے والد|کی دکان] [لاپتہ ہے|زخمی ہوا|بند ہے]۔
+{U} [اور|،] {U} [نے جھگڑا کیا|کا لین دین تھا|کو بلایا گیا]۔
+[ملزم|گواہ|مالک|چوکیدار|سائل|مقتول|متاثرہ] {U} [ولد|بنت|زوجہ] {U}، [پتہ|رہائش|ساکن] {W}
+[پتہ|گھر|رہائش]: {W}
+{W} [میں آگ لگی|سے سامان اٹھایا|کا کرایہ باقی ہے|پر چھاپہ مارا]۔
+{U} [نے|کو|سے|پر|کا|کی] [کہا|مارا|ملا|بھیجا|دیکھا]
+[فون|موبائل|نمبر|رابطہ]: {P}
+[مجھے|اسے|ہمیں] {P} پر [کال کریں|پیغام دیں]۔
+[قومی شناختی کارڈ|شناختی کارڈ|کارڈ] {I} [جعلی نکلا|{U} کا ہے|گم ہو گیا]۔
+{E} پر [جواب بھیجیں|نقل بھیجیں|لکھا تھا]۔
+[کیا|کب|کہاں|کیوں] {U} [گرفتار ہوا|ملا|رہتا ہے|کو چھوڑا گیا]؟
+[میں|میرا نام|بندہ] {U} [ہوں|ہے]، [فون {P}|کارڈ {I}]، میری فائل کہاں ہے؟
+[دیکھیں|بتائیں] {I} [کس کا کارڈ ہے|پر کوئی کیس ہے]
+{P} [کس کی سم ہے|بند کیوں ہے|سے دھمکی ملی]؟
+[جی ہاں|ہاں]، {U} [نے دستخط کیے|پیش ہوا|بری ہوا] [Document 7]۔
+[The|A|This|That|Every|No] [lane|bridge|canal|crossing|market] [at|by|behind|towards] {L} [stays|was|is] [dark|shut|flooded|crowded].
+[Between|Around] {L} and {L} [traffic stopped|wires were cut|dogs barked].
+{L}
+[In|Across|Around|Near|Of|Inside] {L}[,|] {#} [people|shops|homes|trees|thefts|men] [were|voted|closed|burnt|lived] [{D}|later|].
+[the fog|a blackout|the fair|the strike|patrols] [in|over|at|of] {L}.
+[road|way|bus] to {L}, {L} or {L} [{#} km|]
+[Staff|Clients|Invoices|Partners] of {O} [complained|vanished|refused to pay].
+{O} [sells|repairs|imports|owes] {G}[ since {D}| for Rs. {R}|].
+[deal|contract|dispute] with {O} in {L}
+{S} [forwarded|archived|returned|reopened] {F} on {D}.
+[Officers of|The desk at|Nobody in] {S} [took notes|answered|had the key].
+[Frame|Engine|Chassis|Serial|Batch|Tag|Seal|Lot] [no.|number|code|] {C}[ scratched| readable|].
+[IMEI|Handset code|Device id] {M}[, blocked| not on file|].
+[Courier|Cargo|Airway bill|Shipment|Tracking|Consignment|Postal docket|Docket] [no|number|slip|code|] {K} [left the depot|is lost|was opened|came back].
+[Goods|Freight|Cargo|Consignment|Waybill] [no|number] {K} [sat|stood|was weighed|was detained|is delayed] [at|near|behind] the [depot|border|scales|barrier|customs] [on {D}|].
+[Consignment|Shipment] {K} [and|or] [waybill|parcel no] {K} [differ|arrived].
+[Bill|Invoice|Voucher|Token|Challan|Receipt] {#}-{#} [over|of] Rs. {R}.
+[Pump|Meter|Boiler|Gauge] {#}-{#}-{#}, [reading|type|lot] {#}.
+[Serial|Part|Version] 92-{#}-{#} and 0{#}-{#}
+{V} [hit a pole|was towed|is stolen|belongs to {O}].
+[truck|bike|rickshaw|van] {V} or {V}
+[Please|Kindly|Could you] [list|count|explain|compare|translate] [all entries|the seizures|both reports] [of|for] {F}.
+[What|Which|When|Why|How|Who|Where|Whose] [rule|fee|court|form|deadline|officer|record] [covers|applies to|follows from] {X}?
+[How do I|Can one|May we|Should I] [appeal|renew a licence|get bail|see the ledger|object] [at|in] {S}?
+[Compare|Summarise|Outline|Describe|Draft] [the raid|what happened|every step] [in|of] {F} [from|until] {D}.
+[does|did] {V} [turn up|show] in {F}?
+[my passport|a cheque book|my bag] [was lost|got stolen] in {L}, [what now|where do I go]?
+[Charges|Counts] under {X} [lapse|carry bail|need a warrant].
+[First|Second|Third|Another|Last] [hearing|raid|search] [on|set for] {D} [Document 5].
+[None|Some|Most|Two] of the [cameras|locks|goats|papers] [worked|were found|were marked {C}].
+[Ballistic|Medical|Forensic|Audit] [report|notes] {#} [agree|differ] [Document 8].
+[Bring|Carry|Attach|Hand in] [two photos|a stamped form|old receipts] and Rs. {R} [to the counter|at {S}].
+[It|He|She|They|We|I|You] [was|were|had|did|will|can] [late|seen at {T}|asked to wait|not there].
+[Sorry|Unfortunately|Alas], [this|that|the request] [is beyond|lies outside] [my role|our files].
+[Ask|See|Consult] [a lawyer|counsel|the desk|an advocate] [first|instead|in person].
+[Yes|No|Maybe|Never|Twice|Unknown], [at {T}|on {D}|see {F}|about Rs. {R}]
+[Gari|Motor cycle|Truck] {V} [pakri gayi|chori hui|jal gayi].
+{L} [mein|ke paas|se|tak] [andhera tha|rasta band hai|shor hua].
+{O} [ka munshi|ka hisab|wale] [nahi mila|baqi hai|aye].
+{S} [mein kon hai|ka number kya hai|ne file band ki].
+[Parcel|Saman|Raseed|Builty] {K} [wapis aya|gum hai].
+[fees kitni hai|kahan jana hai|kaise likhen|kis dafa mein|kab milegi] [{F}|{X}|]?
+[Agli|Pichli] tareekh {D}, [adalat band thi|wakeel nahi aya].
+[file|case|parcha] {F} [khula hai|band hai|dobara khula]
+[{G} aur {G}|{#} cheezen|naqdi Rs. {R}] [mili|wapis hui|mohar {C} ke sath rakhi].
+[koi baat nahi|mujhe nahi pata|yeh mumkin nahi|aap khud dekhein]
+[گاڑی|موٹر سائیکل|ٹرک] {V} [پکڑی گئی|چوری ہوئی|جل گئی]۔
+{Z} [میں|کے پاس|سے|تک] [اندھیرا تھا|راستہ بند ہے|شور ہوا]۔
+{Z} [میں|کے] {#} [گھر|دکانیں|لوگ|واقعات] [جلے|بند رہے|ہوئے]۔
+[گاڑی|بائیک|ٹرک|رکشہ] نمبر {V} [کس کی ہے|کہاں کھڑی ہے|کب ملی|جل گئی]؟
+{V} [کس کی ہے|کہاں کھڑی ہے|کب ملی]؟
+{Z} [کہاں ہے|کی سڑک|کا بازار]
+[پارسل|سامان|رسید|بلٹی] {K} [واپس آیا|گم ہے]۔
+[فیس کتنی ہے|کہاں جانا ہے|کیسے لکھیں|کس دفعہ میں|کب ملے گی] [{F}|{X}|]؟
+[اگلی|پچھلی] تاریخ {D}، [عدالت بند تھی|وکیل نہیں آیا]۔
+[فائل|کیس|پرچہ] {F} [کھلا ہے|بند ہے|دوبارہ کھلا]۔
+[{#} چیزیں|نقدی {R}|زیورات|کپڑے|گھڑی|بیگ] [ملی|واپس ہوئی|تھیلے میں رکھی] [مہر|نشان] {C}۔
+[لیپ ٹاپ|سونے کی انگوٹھی|چابیاں|کاغذات|رقم] اور [پرس|موبائل|سائیکل|کمبل] [غائب ہے|ملے|جمع ہیں]۔
+[درخواست|شکایت|نقل|فارم|لائسنس|پاسپورٹ|بیان|گواہی|ضمانت|نوٹس|وارنٹ|فہرست] [گزار|دہندہ|نامہ|کنندہ|نمبر|والا] [کو|کے|کی|نے|سے] [دفتر|عدالت|کچہری|جیل|تھانے|سرکار] [جانا|آنا|لکھنا|بتانا|لے جانا] [ہے|ہوگا|تھا|پڑے گا]۔
+[گم شدہ|جعلی|پرانی|نئی|کھوئی ہوئی|ضبط شدہ|سرکاری|ذاتی] [چیز|مہر|گاڑی|دستاویز|رقم|سند|بندوق|تصویر] [کی|کا|کے] [رپورٹ|اطلاع|تفصیل|قیمت|جانچ] [کس طرح|کدھر|کتنے میں|کب تک] [ہوگی|ملے گی|درج ہو گی|ہو سکتی ہے]؟
+[پہلے|دوسرے|تیسرے|بعض|تمام|اکثر|جبکہ|چنانچہ|لہذا|اگرچہ|تاہم] [لوگ|گواہ|افسران|ملازم|سوال|صفحات] [کہتے ہیں|خاموش رہے|متفق ہیں|مختلف ہیں|درست ہیں] [Document 1]۔
+[اس|ان|جس|کسی|ہر] [معاملے|سوال|فائل|علاقے|قانون|ریکارڈ|دستاویز] [پر|میں|کا|سے متعلق] [بات|جواب|علم|اجازت|معلومات|رسائی] [نہیں|ممکن ہے|درکار ہے|ملتی ہے]۔
+[کوئی بات نہیں|مجھے نہیں پتہ|یہ ممکن نہیں|آپ خود دیکھیں|انتظار کریں]۔
+[سماعت|رپورٹ|تلاشی|دفتر|درخواست|پولیس|حکم] [جاری ہے|ملتوی ہوئی|مکمل ہے|نامکمل ہے|نہیں ہوئی]۔
+[ایک|دوسرا|کوئی|وہ|یہ] [آدمی|عورت|لڑکا|افسر] [بھاگ گیا|چپ رہا|آگے بڑھا] [{T}|{D} کو|]۔
+[Le|La|Un|Une|Votre|Cette] [voiture {V}|dossier {F}|reçu {#}|bureau|loi] [coûte|reste|est] [Rs. {R}|ouvert|utile]{.}
+[Nous|On|Il|Elle] [ne sait rien|attend la suite|revient le {D}].
+[{V}|{X}|{F}|{T}|{D}|Rs. {R}|{#}]
+[{V}, {V} and {V}|{G}, {G}|at {T} or {T}|{X} read with {X}|{F} and {F}]
 """.strip().split("\n")
 
 PERSONAL = {"N": "name", "U": "name", "A": "address", "W": "address", "P": "phone", "I": "identity_number", "E": "email"}
 # Words the slots without personal data are filled with.
-_PLACES = (
-    "Gulnar Sabzwari Nargis Chandni Andaz Shalozan Zaitoon Rahat Bostan Firdaus Sunehri Rawalkund Daman Kachnar Jhelani Marwarid Gulshan Model"
-).split() + [
-    "Taj Bagh", "Kohsar View", "Qila Darra", "Naya Qasba", "Shahi Talab", "Neelum Kot", "Pathar Garh", "Dhok Sangar", "Lala Rukh",
-    "Mehran Bela", "Tibba Noor", "Morgah Kalan", "Banni Sarai", "Purani Chungi", "Garden View", "Sabz Kot",
-]
-_SORTS = ["Town", "Colony", "Nagar", "Bazar", "Mohalla", "Park", "Housing Society", "Road", "Chowk"]
-_FIRMS = "Zarqam Kestrow Yaldoor Trimanz Tavolia Belvento Nimruz Orkesta Quorvex Durvesh Hilbrook Pamiron Wolmart Sufflor".split()
-_TRADES = ["Traders", "Motors", "Jewellers", "Public School", "Medical Centre", "Cash & Carry", "Builders & Developers", "Engineering Works", "Mobile Centre", "Cold Storage", "Travel Agency", "Textile Mills", "Filling Station"]
-_GOODS = ["two gold bangles", "a 125cc motorcycle", "a mobile handset", "copper wire", "a laptop with charger", "a sewing machine", "a set of keys", "three goats", "a water pump", "cash in a brown envelope", "a black handbag", "a bag of documents"]
-_CATS = "THEFT FRAUD ASSAULT CYBER MISSING TRAFFIC HARASS WEAPON BURGLARY NARCOTICS".split()
-_HOSTS = ["zarqam.example", "mail.belvento.test", "inbox.example.org", "post.orkesta.invalid", "kestrow.example.net", "home.example.com", "web.nimruz.example", "quick.example.pk", "firm.test"]
+_SORTS = ["Town", "Colony", "Nagar", "Bazar", "Mohalla", "Park", "Road", "Chowk"]
+_TRADES = ["Traders", "Motors", "School", "Hospital", "Builders", "Mills", "Agency", "Brothers", "& Sons", "(Pvt) Ltd"]
+_GOODS = ["a necklace", "a motor bike", "a smart phone", "steel pipes", "a computer", "a tractor battery", "a bunch of papers", "two cows", "a generator", "cash", "a purse", "old coins"]
+_HOSTS = ["example.com", "example.org", "mail.example.net", "office.example", "shop.test", "post.invalid", "my-firm.example.com", "a1.test"]
+TITLES = ["Mr. ", "Mr ", "Dr. ", "Dr ", "Mst. ", "Mst ", "Mrs. ", "Mrs ", "Miss ", "Ms. ", "Haji ", "Hafiz ", "Ch. ", "Syed ", "Sheikh ", "Malik ", "Prof. ", "Adv. "]
 
 
 def _digits(r: random.Random, n: int) -> str:
     return "".join(r.choice("0123456789") for _ in range(n))
 
 
-def _phone(r: random.Random) -> str:
-    a, b, c = r.choice(["03", "08"]) + _digits(r, 2), _digits(r, 3), _digits(r, 4)
-    s = r.choice([f"{a}-{b}{c}", f"{a}{b}{c}", f"{a} {b} {c}", f"({a}) {b}{c}", f"({a}) {b}-{c}", f"+92-{a[1:]}-{b}-{c}", f"+92 {a[1:]} {b}{c}", f"0092{a[1:]}{b}{c}", f"{a} {b}{c}"])
+def _script(r: random.Random, s: str) -> str:
     return s.translate(str.maketrans("0123456789", "۰۱۲۳۴۵۶۷۸۹")) if r.random() < 0.1 else s
 
 
+def _phone(r: random.Random) -> str:
+    a, b, c = "0" + r.choice("123456789") + _digits(r, 2), _digits(r, 3), _digits(r, 4)
+    return _script(r, r.choice([f"{a}-{b}{c}", f"{a}{b}{c}", f"{a} {b} {c}", f"({a}) {b}{c}", f"({a}) {b}-{c}", f"+92-{a[1:]}-{b}-{c}", f"+92 {a[1:]} {b}{c}", f"0092{a[1:]}{b}{c}", f"{a} {b}{c}"]))
+
+
 def _identity(r: random.Random) -> str:
-    a, b, c = "9" + _digits(r, 4), _digits(r, 7), _digits(r, 1)
-    s = r.choice([f"{a}-{b}-{c}", f"{a}{b}{c}", f"{a} {b} {c}", f"{a}.{b}.{c}", f"{a}–{b}–{c}"])
-    return s.translate(str.maketrans("0123456789", "۰۱۲۳۴۵۶۷۸۹")) if r.random() < 0.1 else s
+    a, b, c = r.choice("123456789") + _digits(r, 4), _digits(r, 7), _digits(r, 1)
+    return _script(r, r.choice([f"{a}-{b}-{c}", f"{a}-{b}-{c}", f"{a}{b}{c}", f"{a}{b}{c}", f"{a}{b}{c}", f"{a} {b} {c}", f"{a}.{b}.{c}", f"{a}–{b}–{c}"]))
 
 
 def _email(r: random.Random, names: list[str]) -> str:
@@ -226,63 +211,82 @@ def _email(r: random.Random, names: list[str]) -> str:
 
 
 def _date(r: random.Random) -> str:
-    y, m, d = r.randint(2023, 2026), r.randint(1, 12), r.randint(1, 28)
+    y, m, d = r.randint(1995, 2040), r.randint(1, 12), r.randint(1, 28)
     return r.choice([f"{y}-{m:02}-{d:02}", f"{d:02}-{m:02}-{y}", f"{d:02}/{m:02}/{y}"])
 
 
-def _place(r: random.Random) -> str:
-    """A place name; one in four is made up, so that its words alone don't tell."""
-    if r.random() < 0.75:
-        return r.choice(_PLACES)
+def _made_up(r: random.Random) -> str:
     return "".join(r.choice("bdghjklmnprstz") + r.choice("aeiou") for _ in range(r.randint(2, 4))).capitalize() + r.choice(["", "r", "n", "l"])
 
 
-def _other(kind: str, r: random.Random) -> str:
+def _letters(r: random.Random, n: int) -> str:
+    return "".join(r.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZ") for _ in range(n))
+
+
+def _other(kind: str, r: random.Random, pools: dict[str, list[str]]) -> str:
     code = "".join(r.choice("ABCDEFGHJKLMNPRSTUVWXYZ0123456789") for _ in range(9))
     return {
-        "L": lambda: f"{_place(r)} {r.choice(_SORTS)}",
-        "S": lambda: f"PS {_place(r)}" + r.choice(["", " West", " Saddar"]),
-        "O": lambda: f"{r.choice(_FIRMS)} {r.choice(_TRADES)}",
+        # one in four is made up, so that the words alone don't tell
+        "L": lambda: r.choice(pools["L"]) if pools["L"] and r.random() < 0.75 else f"{_made_up(r)} {r.choice(_SORTS)}",
+        "Z": lambda: r.choice(pools["Z"]) if pools["Z"] else "پرانا شہر",
+        "S": lambda: r.choice(pools["S"]) if pools["S"] and r.random() < 0.75 else f"PS {_made_up(r)}",
+        "O": lambda: r.choice(pools["O"]) if pools["O"] and r.random() < 0.75 else f"{_made_up(r)} {r.choice(_TRADES)}",
         "G": lambda: r.choice(_GOODS),
-        "B": lambda: r.choice(["black", "white", "maroon", "navy", "cream", "silver", "grey", "olive", "tan"]),
-        "F": lambda: f"FIR-{r.randint(2024, 2026)}-{r.choice(_CATS)}-{_digits(r, 4)}",
-        "V": lambda: f"{r.choice('ABCDKLMNPRTX')}{r.choice('ABCKOT')}{r.choice('ABCRTX')}-{r.choice('ABCEHKMOTX')}-{_digits(r, 4)}",
+        "F": lambda: f"FIR-{r.randint(1995, 2040)}-{_letters(r, r.randint(4, 8))}-{_digits(r, 4)}",
+        "V": lambda: f"{_letters(r, 3)}-{_letters(r, 1)}-{_digits(r, 4)}",
         "D": lambda: _date(r),
-        "T": lambda: r.choice([f"{r.randint(0, 23):02}:{_digits(r, 1)}5", f"{r.randint(1, 12)}.{r.randint(10, 59)} {r.choice(['am', 'pm'])}"]),
+        "T": lambda: r.choice([f"{r.randint(0, 23):02}:{r.randint(0, 59):02}", f"{r.randint(1, 12)}.{r.randint(10, 59)} {r.choice(['am', 'pm'])}"]),
         "R": lambda: f"{r.randint(1, 899)},{_digits(r, 3)}",
         "C": lambda: code,
-        "K": lambda: "40" + _digits(r, 11),
-        "M": lambda: "35" + _digits(r, 13),
+        "K": lambda: _digits(r, 13),
+        "M": lambda: _digits(r, 15),
         "X": lambda: f"{r.randint(100, 499)}" + r.choice(["", "-A", "-B", "(2)"]) + " " + r.choice(["PPC", "CrPC", "PECA", "CNSA"]),
-        "#": lambda: _digits(r, r.choice([2, 3, 6])),
+        "#": lambda: _digits(r, r.choice([1, 2, 3, 4, 5, 6])),
+        ".": lambda: r.choice([".", "", " !"]),
     }[kind]()
 
 
 def _name(r: random.Random, names: list[str]) -> str:
     s = r.choice(names)
     x = r.random()
+    if s.isascii() and 0.25 <= x < 0.4 and s.count(" ") and s[1] != ".":
+        first, _, rest = s.partition(" ")
+        return f"{first[0]}. {rest}" if x < 0.3 else f"{first[0]}. {rest.rpartition(' ')[2]}"
     if s.isascii() and x < 0.25:
-        return s.upper() if x < 0.12 else s.lower() if x < 0.2 else r.choice(["Mr. ", "Mr ", "Dr. ", "Dr ", "Mst. ", "Mst ", "Mrs. ", "Miss ", "Haji ", "Hafiz ", "Ch. ", "Syed "]) + s
+        return s.upper() if x < 0.12 else s.lower() if x < 0.2 else r.choice(TITLES) + s
     return s
 
 
-def labelled_texts(names: list[str], addresses: list[str], count: int, seed: int = 1) -> list[tuple[str, list[tuple[int, int, str]]]]:
+_CHOICE = re.compile(r"\[([^\[\]]*\|[^\[\]]*)\]")
+
+
+def literal_parts() -> list[str]:
+    """What the sentences say around their slots, every wording of a choice by itself."""
+    parts: list[str] = []
+    for line in SENTENCES:
+        parts += [p for p in re.split(r"\{.\}", _CHOICE.sub(" {#} ", line))]
+        parts += [p for m in _CHOICE.finditer(line) for w in m[1].split("|") for p in re.split(r"\{.\}", w)]
+    return [p.strip() for p in parts if p.strip()]
+
+
+def labelled_texts(names: list[str], addresses: list[str], count: int, seed: int = 1, others: dict[str, list[str]] | None = None) -> list[tuple[str, list[tuple[int, int, str]]]]:
     """``count`` texts of one to three sentences with their spans ``(start, end, kind)``.
 
     ``names`` and ``addresses`` fill the personal slots; Latin and Urdu ones go into sentences of their script.
+    ``others`` may hold firms (``O``), places (``L``, in Urdu ``Z``) and stations (``S``).
     """
     r = random.Random(seed)
     latin, urdu = [n for n in names if n.isascii()], [n for n in names if not n.isascii()]
     homes, homes_ur = [a for a in addresses if a.isascii()], [a for a in addresses if not a.isascii()]
-    pools = {"N": latin or ["Ali Khan"], "U": urdu or ["علی خان"], "A": homes or ["House No. 7, Street 3, Rahat Town"], "W": homes_ur or ["مکان نمبر 7، گلی نمبر 3"]}
+    pools = {"N": latin or ["Ali Khan"], "U": urdu or ["علی خان"], "A": homes or ["House No. 7, Street 3, Old Town"], "W": homes_ur or ["مکان نمبر 7، گلی نمبر 3"]}
+    fill = {k: list((others or {}).get(k, [])) for k in "LZSO"}
     out = []
-    order = list(range(len(SENTENCES)))
-    for k in range(count):
+    for _ in range(count):
         text, spans = "", []
         for n in range(r.choice([1, 1, 2, 3])):
-            if (k + n) % len(order) == 0:
-                r.shuffle(order)
-            line = SENTENCES[order[(k + 7 * n) % len(order)]]
+            line = r.choice(SENTENCES)
+            while m := _CHOICE.search(line):
+                line = line[: m.start()] + r.choice(m[1].split("|")) + line[m.end() :]
             if n:
                 text += r.choice([" ", " ", "\n", "  "])
             # answers may be lists
@@ -302,7 +306,7 @@ def labelled_texts(names: list[str], addresses: list[str], count: int, seed: int
                     elif slot == "E":
                         value = _email(r, pools["N"])
                     else:
-                        value = _other(slot, r)
+                        value = _other(slot, r, fill)
                     if slot in PERSONAL:
                         spans.append((len(text), len(text) + len(value), PERSONAL[slot]))
                     text += value

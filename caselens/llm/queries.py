@@ -54,8 +54,14 @@ def p4_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    forms = table(spark, sf_dir, "structured_fields")
-    model = pii.fitted(forms.select("complainant_name"), forms.select("complainant_address"))
+    known, asked = table(spark, sf_dir, "entity_summaries"), table(spark, sf_dir, "queries")
+    model = pii.fitted(
+        known.where("entity_type = 'Person'").select("canonical_name"),
+        table(spark, sf_dir, "structured_fields").select("complainant_address"),
+        known.where("entity_type = 'Organization'").select("canonical_name"),
+        table(spark, sf_dir, "stations").select("station_name"),
+        table(spark, sf_dir, "cases").select("description").unionAll(asked.select("user_message")).unionAll(asked.select("final_response")),
+    )
     parts = []
     for name, key, column in (("cases", "case_id", "description"), ("queries", "query_id", "user_message"), ("queries", "query_id", "final_response")):
         found = pii.detect(spread(table(spark, sf_dir, name)), key, column, model)
