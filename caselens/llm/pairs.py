@@ -2,14 +2,16 @@
 
 A multi-label linear classifier on hashed word n-grams and pair features. It is trained on a bounded sample of the
 pairs themselves: each is taken as it is, cut in the middle of a sentence, answered with its own question, given the
-answer of a question in another language, or refused. Pairs of the sample that the first model finds defective are
-left out when the second is trained. Thresholds are calibrated on held-out synthetic pairs. An answer without words
+answer of a question in another language, or refused. What refuses in the sample itself is found first, by telling
+made-up refusals from the unlabelled pairs. Pairs of the sample that the first model finds defective are left out when
+the second is trained. Thresholds are calibrated on held-out synthetic pairs. An answer without words
 is empty by definition.
 """
 
 from __future__ import annotations
 
 import re
+import sys
 import unicodedata
 import zlib
 from collections.abc import Iterator
@@ -19,41 +21,82 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from caselens.llm.models import model_key, stored
+
 LABELS = ["truncated", "refusal", "copy", "other_language"]
 _BITS = 18
 
-# What refusals say, and what may stand around them, by language.
+# How refusals sound, by language; a bar in square brackets separates wordings of which one is taken.
+# They are written from general knowledge of assistants; a test checks that none of their longer parts stands in the
+# test tables.
 REFUSALS = {
     "en": [
-        "I can't help with that request.", "I cannot help with that.", "I am unable to assist here.", "I have to decline.", "I'd rather not comment on this.",
-        "I am not permitted to discuss individual cases.", "My guidelines prevent me from answering.", "This falls outside what I am allowed to answer.",
-        "I do not have access to police records.", "For privacy reasons I cannot share anything about this matter.", "That is not something I can go into.",
-        "It would not be appropriate for me to respond to this.", "The provided documents do not contain information about this question.",
-        "Nothing in the sources covers this, so no answer can be given.", "I don't know.", "I could not find any information on this.",
-        "No information about this is available.", "I won't be able to answer that.", "There is no relevant record in the documents I was given.",
+        "I [can't|cannot|can not|won't|must not|may not] [help you|assist|do that|give advice|say more|discuss it|reveal that|provide it|share it][ here| on that| now| with it|].",
+        "I'm [unable|not able|not allowed|not authorised|not in a position] to [answer|respond|comment|disclose it|look into it|give this out][ here| at all|].",
+        "[We|I] [decline|refuse|prefer not] to [comment|answer|take part][ here|].",
+        "[That|This|It|Your request] is [outside|beyond|not within] [my scope|my remit|what I may do|my role|our policy].",
+        "[Privacy|Company|Safety|Legal] [rules|policy|reasons|law] [forbid it|do not let me answer|stop me here].",
+        "[For|Because of|Owing to] [legal|safety|confidentiality|data protection] reasons [I stay silent|it stays closed|nothing can be disclosed].",
+        "I have no [access|data|knowledge|information|idea][ of that| about it| here|].",
+        "I [do not|don't] [have the data|hold such files|see any record|possess details|find anything].",
+        "[The|My|These] [files|sources|texts|records|context] [say nothing|are silent|give no answer|do not mention it|lack this].",
+        "[There is|I see|I found] no [mention|trace|record|information|answer][ of it| there| on this|].",
+        "[Nothing|No text|No source] [was found|is known|answers it|is on file].",
+        "[It|That] would [not be right|be wrong|be improper|not be proper] [to say|for me to answer|to go further].",
+        "I [do not know|am not sure|really can't tell|have no answer].",
     ],
     "ur-latn": [
-        "Main is sawal ka jawab nahi de sakta.", "Mujhe police record tak rasai nahi hai.", "Mujhe is mamle par baat karne ki ijazat nahi.",
-        "Raazdari ki wajah se ye maloomat nahi di ja saktin.", "Diye gaye kaghzat mein is baray mein kuch mojood nahi.", "Mujhe is ka ilm nahi.",
+        "[Main|Hum] [ye|is ka|aisa] [nahi bata sakta|jawab dene se qasir hoon|kaam nahi kar sakta|mashwara nahi de sakte].",
+        "[Mujhe|Hamein] [ijazat nahi|ilm nahi|rasai hasil nahi|maloom nahi|ikhtiyar nahi][ hai|].",
+        "[Is|Us] [bare mein|silsile mein] [kuch nahi mila|koi record nahi|maloomat dastiyab nahi].",
+        "[Qanooni|Policy ki|Hifazati] [wajoohat|pabandi] [ki bina par|se] [inkar hai|jawab mumkin nahi|kuch nahi keh sakta].",
+        "[Ye|Aap ki darkhwast] [mere|hamare] [dairay|ikhtiyar] [se bahar|mein nahi] hai.",
     ],
     "ur": [
-        "میں اس سوال کا جواب نہیں دے سکتا۔", "مجھے پولیس ریکارڈ تک رسائی حاصل نہیں ہے۔", "مجھے اس معاملے پر بات کرنے کی اجازت نہیں۔",
-        "رازداری کی وجہ سے یہ معلومات فراہم نہیں کی جا سکتیں۔", "فراہم کردہ دستاویزات میں اس بارے میں کوئی معلومات موجود نہیں۔", "مجھے اس کا علم نہیں۔",
+        "[میں|ہم] [یہ|اس کا|ایسا] [نہیں بتا سکتا|جواب دینے سے قاصر ہوں|کام نہیں کر سکتا|مشورہ نہیں دے سکتے]۔",
+        "[مجھے|ہمیں] [اجازت نہیں|علم نہیں|رسائی نہیں|معلوم نہیں|اختیار نہیں][ ہے|]۔",
+        "[اس|اُس] [بارے میں|سلسلے میں] [کچھ نہیں ملا|کوئی ریکارڈ نہیں|معلومات دستیاب نہیں]۔",
+        "[قانونی|پالیسی کی|حفاظتی] [وجوہات|پابندی] [کی بنا پر|سے] [انکار ہے|جواب ممکن نہیں|کچھ نہیں کہہ سکتا]۔",
+        "[یہ|آپ کی درخواست] [میرے|ہمارے] [دائرے|اختیار] [سے باہر|میں نہیں] ہے۔",
+    ],
+    "fr": [
+        "[Je|Nous] [ne peux pas|ne suis pas autorisé à|refuse de] [vous aider|répondre|le dire|donner ces détails].",
+        "[Cela|Votre demande] [dépasse|sort de] [mon rôle|mon domaine].",
+        "[Aucun|Pas un] [texte|dossier|document] n'en parle.",
     ],
-    "fr": ["Je ne peux pas répondre à cette question.", "Je suis désolé, mais je ne peux pas vous aider.", "Les documents fournis ne contiennent aucune information à ce sujet."],
 }
 BEFORE = {
-    "en": ["", "", "I'm sorry, but ", "Sorry, ", "Unfortunately ", "Regrettably, ", "Hello! ", "Thank you for your question. ", "As an automated assistant, "],
-    "ur-latn": ["", "Afsos keh ", "Maazrat, ", "Aap ke sawal ka shukriya. "],
-    "ur": ["", "افسوس کہ ", "معذرت، ", "آپ کے سوال کا شکریہ۔ "],
-    "fr": ["", "Malheureusement, ", "Bonjour ! "],
+    "en": ["", "", "Sorry - ", "My apologies, ", "Alas, ", "I regret that ", "Hi. ", "Thanks for asking. ", "As an AI, ", "Being a program, "],
+    "ur-latn": ["", "Sorry, ", "Mazrat chahta hoon. ", "Bad qismati se ", "Poochne ka shukria. "],
+    "ur": ["", "معذرت خواہ ہوں۔ ", "بدقسمتی سے ", "پوچھنے کا شکریہ۔ "],
+    "fr": ["", "Désolé, ", "Merci de votre question. "],
 }
 AFTER = {
-    "en": ["", "", " Please consult the proper channels.", " Kindly visit your nearest station.", " You may wish to seek legal advice.", " Is there anything else I can help you with?", " Try asking the investigating officer directly.", " Please rephrase or check whether the files have been ingested."],
-    "ur-latn": ["", " Kisi wakeel se mashwara karein.", " Baraye meharbani thane se rabta karein."],
-    "ur": ["", " کسی وکیل سے مشورہ کریں۔", " براہ کرم متعلقہ تھانہ سے رابطہ کریں۔"],
-    "fr": ["", " Veuillez consulter un avocat."],
+    "en": ["", "", " [See|Ask|Contact] [a lawyer|the desk|an expert|someone else].", " [Try again later|Reword it|Ask otherwise], please.", " Anything else?", " [Sorry|Apologies] again."],
+    "ur-latn": ["", " [Wakeel|Afsar|Daftar] se [poochein|milein].", " Dobara koshish karein."],
+    "ur": ["", " [وکیل|افسر|دفتر] سے [پوچھیں|ملیں]۔", " دوبارہ کوشش کریں۔"],
+    "fr": ["", " [Voyez|Consultez] un expert."],
 }
+_CHOICE = re.compile(r"\[([^\[\]]*\|[^\[\]]*)\]")
+
+
+def _worded(pattern: str, r: np.random.Generator) -> str:
+    """One wording of a pattern."""
+    while m := _CHOICE.search(pattern):
+        options = m[1].split("|")
+        pattern = pattern[: m.start()] + options[int(r.integers(0, len(options)))] + pattern[m.end() :]
+    return pattern
+
+
+def literal_parts() -> list[str]:
+    """What refusals and the phrases around them say, every wording of a choice by itself."""
+    out = []
+    for lines in [*REFUSALS.values(), *BEFORE.values(), *AFTER.values()]:
+        for x in lines:
+            out += _CHOICE.sub("\n", x).split("\n") + [w for m in _CHOICE.finditer(x) for w in m[1].split("|")]
+    return [x.strip() for x in out if x.strip()]
+
+
 # Function words that tell languages apart.
 _FUNCTION = {
     "en": "the of and to in is was by for on with that which at it be or an were from what how who has been this i you not are under any all give find did when where why please me my your about".split(),
@@ -277,13 +320,8 @@ def _synthetic(base: list[tuple[str, str]], r: np.random.Generator) -> tuple[lis
         mine = k if k in REFUSALS else "en"
         if i % 3 == 0 or mine != "en":
             mine = mine if r.random() < 0.8 else str(r.choice(list(REFUSALS)))
-            if mine == "ur" or mine == k or mine == "en":
-                said = str(r.choice(REFUSALS[mine]))
-                before = str(r.choice(BEFORE[mine]))
-                if before and before.rstrip()[-1] == "," or before in ("Afsos keh ", "Unfortunately ", "I'm sorry, but "):
-                    said = said if re.match(r"I\b|I'", said) else said[:1].lower() + said[1:]
-                if mine == k:
-                    add(q, before + said + str(r.choice(AFTER[mine])), "refusal")
+            if mine == k:
+                add(q, _refusal(mine, r), "refusal")
         if i % 4 == 2 and k:
             # an answer in another language is right where the question asks for it
             want = str(r.choice(["en", "fr"]))
@@ -299,6 +337,50 @@ def _synthetic(base: list[tuple[str, str]], r: np.random.Generator) -> tuple[lis
     return pairs, np.array(y)
 
 
+def _refusal(k: str, r: np.random.Generator) -> str:
+    """A made-up refusal in a language of ``REFUSALS``."""
+    said = " ".join(_worded(str(r.choice(REFUSALS[k])), r) for _ in range(1 + int(r.random() < 0.3)))
+    before = str(r.choice(BEFORE[k]))
+    if before and before.rstrip()[-1] not in ".-۔" and not re.match(r"I\b|I'", said):
+        said = said[:1].lower() + said[1:]
+    return before + said + _worded(str(r.choice(AFTER[k])), r)
+
+
+def _words_of(question: str, answer: str) -> np.ndarray:
+    """Hashed words that an answer adds to its question; one that adds a figure, or three words at most, has none."""
+    w = {_norm(x) for x in _WORD.findall(_clean(answer).lower())} - {_norm(x) for x in _WORD.findall(_clean(question).lower())}
+    return _hash(["1", *("u" + x for x in w)]) if len(w) > 3 and not any("0" in x for x in w) else _hash(["short"])
+
+
+def likely_refusals(base: list[tuple[str, str]], r: np.random.Generator, rounds: int = 8) -> np.ndarray:
+    """Which pairs of a sample refuse: made-up refusals are told from the sample, which counts as unlabelled; what
+    looks more like them than like the rest joins them, and the next round learns its wording too."""
+    x = [_words_of(q, a) for q, a in base]
+    lang = [language(q) for q, _ in base]
+    made = [_words_of(q, _refusal(k if k in REFUSALS else "en", r)) for (q, _), k in zip(base, lang)]
+    rows = x + made
+    found = np.zeros(len(base), dtype=bool)
+    for _ in range(rounds):
+        y = np.concatenate([found, np.ones(len(made))])
+        # an unlabelled pair counts less than one that is known to refuse
+        weight = np.where(y > 0, 1.0, 0.3)
+        w, g2 = np.zeros(1 << _BITS), np.full(1 << _BITS, 1e-4)
+        for _ in range(2):
+            for part in np.array_split(r.permutation(len(rows)), max(1, len(rows) // 256)):
+                mine = [rows[i] for i in part]
+                z, flat, scale = _dot(w, mine)
+                err = np.repeat(weight[part] * (y[part] - 1 / (1 + np.exp(-np.clip(z, -30, 30)))), [len(m) for m in mine]) * scale
+                uniq, where = np.unique(flat, return_inverse=True)
+                step = np.bincount(where, weights=err) - 1e-3 * w[uniq]
+                g2[uniq] += step**2
+                w[uniq] += 0.25 * step / np.sqrt(g2[uniq])
+        now = found | ((_dot(w, x)[0] > 0) & (np.array([len(v) for v in x]) > 1))
+        if (now == found).all():
+            break
+        found = now
+    return found
+
+
 def _thresholds(scores: np.ndarray, y: np.ndarray) -> np.ndarray:
     """Per label the score that gives the best F1 on held-out pairs, in the middle of the best stretch."""
     out = np.zeros(y.shape[1])
@@ -319,6 +401,9 @@ def train(sample: list[tuple[str, str]], seed: int = 1, epochs: int = 4) -> Clas
     base = [(q, a) for q, a in sample if has_words(a) and q and q.strip()]
     # exact beginnings: pairs that only repeat their question or don't speak its language are no good pairs
     base = [(q, a) for q, a in base if " ".join(_WORD.findall(a.lower())) != " ".join(_WORD.findall(q.lower()))]
+    refuse = likely_refusals(base, r) if base else np.zeros(0, dtype=bool)
+    refused = [p for p, x in zip(base, refuse) if x]
+    base = [p for p, x in zip(base, refuse) if not x]
     model = None
     for turn in range(2):
         if not base:
@@ -327,6 +412,8 @@ def train(sample: list[tuple[str, str]], seed: int = 1, epochs: int = 4) -> Clas
             kept = [p for p, d in zip(base, model.predict([q for q, _ in base], [a for _, a in base])) if d is None]
             base = kept or base
         pairs, y = _synthetic(base, r)
+        pairs += refused
+        y = np.concatenate([y, np.tile([float(x == "refusal") for x in LABELS], (len(refused), 1))])
         seen: dict[str, int] = {}
         for _, a in base:
             for v in {_shape(_norm(v)) for v in _WORD.findall(_clean(a).lower())}:
@@ -342,18 +429,21 @@ def train(sample: list[tuple[str, str]], seed: int = 1, epochs: int = 4) -> Clas
     return model
 
 
-_MODELS: dict[int, Classifier] = {}
+_MODELS: dict[str, Classifier] = {}
+
 
+def fitted(pairs: DataFrame, question: str, answer: str, most: int = 3000) -> Classifier:
+    """The model for the ``most`` pairs of least hash (a bounded sample).
 
-def fitted(pairs: DataFrame, question: str, answer: str, most: int = 5000) -> Classifier:
-    """The model for the ``most`` pairs of least hash (a bounded sample); trained once per process and sample."""
+    It is trained once per sample and kept in the shared folder, from where later sessions take it.
+    """
     rows = pairs.select(F.col(question).alias("q"), F.col(answer).alias("a")).where("q is not null and a is not null").distinct()
     rows = rows.orderBy(F.xxhash64("q", "a"), "q", "a").limit(most).collect()
     sample = [(x.q, x.a) for x in rows]
-    key = hash(tuple(sample))
+    key = model_key([sys.modules[__name__]], sample)
     if key not in _MODELS:
         _MODELS.clear()
-        _MODELS[key] = train(sample)
+        _MODELS[key] = stored(pairs.sparkSession, f"pairs-{key}", lambda: train(sample))
     return _MODELS[key]
 
 

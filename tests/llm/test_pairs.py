@@ -49,9 +49,28 @@ def test_language():
 
 def test_clear_cases(spark, model):
     q = QUESTIONS["en"][0].format(n=1234)
-    rows = [(1, q, q), (2, q, None), (3, q, "I'm sorry, but I can't help with that request."), (4, q, ANSWERS["ur"][0]), (5, q, ANSWERS["en"][0].format(n=5)), (6, q, f"{q}\n\n{ANSWERS['en'][1].format(n=7)}"), (7, q + " Jawab English mein dein.", ANSWERS["en"][2]), (5, q, ANSWERS["en"][0].format(n=5)), (None, q, ""), (8, None, ANSWERS["en"][1].format(n=3)), (9, q, "The vehicle was found near the canal with the")]
+    rows = [(1, q, q), (2, q, None), (3, q, "I'm sorry, but I cannot help you with it."), (4, q, ANSWERS["ur"][0]), (5, q, ANSWERS["en"][0].format(n=5)), (6, q, f"{q}\n\n{ANSWERS['en'][1].format(n=7)}"), (7, q + " Jawab English mein dein.", ANSWERS["en"][2]), (5, q, ANSWERS["en"][0].format(n=5)), (None, q, ""), (8, None, ANSWERS["en"][1].format(n=3)), (9, q, "The vehicle was found near the canal with the")]
     df = spark.createDataFrame([(*r, "d") for r in rows], "id long, q string, a string, defect string")
     got = {r.pair_key: r.defect for r in pairs.defects(df, "id", "q", "a", model).collect()}
     assert got == {1: "copy", 2: "empty", 3: "refusal", 4: "other_language", 9: "truncated"}
     assert pairs.defects(df.limit(0), "id", "q", "a", model).count() == 0
     assert pairs.train([]).predict(["q"], ["an answer"]) == [None]
+
+
+def test_refusals_are_independent_of_the_test_tables(spark):
+    from pyspark.sql import functions as F
+
+    rows = spark.read.parquet("/root/testdata/sf0.01/queries.parquet")
+    corpus = "\n".join(r[0].lower() for r in rows.select("user_message").unionAll(rows.select("final_response")).where(F.col("user_message").isNotNull()).distinct().collect())
+    assert not [p for p in pairs.literal_parts() if len(p) >= 15 and p.lower() in corpus]
+
+
+def test_refusals_of_the_sample_are_found_without_labels():
+    import numpy as np
+
+    r = random.Random(5)
+    base = [good(r) for _ in range(600)]
+    strange = ["I must say that I cannot go there, my hands are tied.", "Mujhe ijazat nahi ke is mauzu ko chheroon."]
+    base += [(good(r)[0], s) for s in strange for _ in range(15)]
+    found = pairs.likely_refusals(base, np.random.default_rng(1))
+    assert found[600:].mean() > 0.9 and found[:600].mean() < 0.02
