@@ -5,8 +5,9 @@ from __future__ import annotations
 import re
 from functools import lru_cache
 
-from caselens.functions.names import _near
-from caselens.functions.unicode import plain_form
+from caselens.functions.script import skeleton
+from caselens.llm.namewords import _near
+from caselens.llm.unicode import plain_form
 
 # Words for the kinds of premises.
 KINDS = {
@@ -32,22 +33,6 @@ _STREET = re.compile(r"(?<![^\W\d_])(?:street|str|st|gali|galli|گلی|اسٹر
 _BLOCK = re.compile(r"(?<![^\W\d_])(?:block|blk|بلاک)\s*\.?\s*-?\s*([a-z])(?![^\W\d_])|(?<![^\W\d_])([a-z])\s*-?\s*(?:block|blk|بلاک)(?![^\W\d_])\.?")
 _BARE = re.compile(rf"^\s*{_NUM}{_SUFFIX}|(?:^|[,;]|\s-)\s*{_NUM}{_SUFFIX}\s*(?=$|[,;]|\s-)")
 
-# Consonants of Urdu letters in Latin; letters left out are vowels or silent.
-_CONSONANTS = dict(zip("بپتٹثجچحخدڈذرڑزژسشصضطظغفقکگلمنں", "bpttsjchkddzrrzzssszttgfkkglmnn"))
-_CONSONANTS |= {"ط": "t", "ظ": "z", "ض": "z", "ح": "", "چ": "c", "ش": "s"}
-
-
-@lru_cache(maxsize=100_000)
-def skeleton(word: str) -> str:
-    """Consonants of a word in Latin, the same for Latin and Urdu spellings."""
-    if re.search("[؀-ۿ]", word):
-        s = "".join(_CONSONANTS.get(c, "") for c in word)
-    else:
-        s = word.replace("q", "k").replace("x", "ks").replace("z", "z")
-        s = re.sub(r"[aeiouywvh]", "", s)
-    return re.sub(r"(.)\1+", r"\1", s.replace("z", "s"))
-
-
 Address = tuple[str, str, str, str, tuple[str, ...]]
 
 
@@ -80,19 +65,24 @@ def parse_address(value: str | None) -> Address:
             number = str(int(g[0])) + (g[1] if len(g) > 1 else "")
     if m:
         s = s[: m.start()] + " , " + s[m.end() :]
-    words = []
-    for w in re.findall(r"[^\W\d_]+", s):
-        w = ABBREVIATIONS.get(w, w)
-        if w and len(w) > 1:
-            words.append(w)
+    words = [w for w in re.findall(r"[^\W\d_]+", s) if len(w) > 1 and ABBREVIATIONS.get(w, w)]
     return kind, number, street, block, tuple(words)
 
 
+def full(word: str) -> str:
+    """A word written out: what it is short for, or itself."""
+    return ABBREVIATIONS.get(word, word)
+
+
 @lru_cache(maxsize=100_000)
 def word_cost(a: str, b: str) -> float:
-    """Substitution cost of two words: 0 equal or abbreviated, up to 0.4 for near spellings, else 1."""
+    """Substitution cost of two words: 0 equal, 0.02 one word by the dictionary of abbreviations, up to 0.4 for near
+    spellings, else 1."""
     if a == b:
         return 0.0
+    a, b = full(a), full(b)
+    if a == b:
+        return 0.02
     if a in PLACE_WORDS and b in PLACE_WORDS:
         return 1.0
     ua, ub = bool(re.search("[؀-ۿ]", a)), bool(re.search("[؀-ۿ]", b))
@@ -154,8 +144,8 @@ class AddressMatcher:
 
     def informative(self, words: tuple[str, ...]) -> tuple[tuple[str, ...], tuple[str, ...]]:
         """Names and place words of an address in an order that does not depend on how it was written."""
-        names = tuple(w for w in words if w not in PLACE_WORDS and w not in self.common and not self._common_spelling(w))
-        return names, tuple(sorted({w for w in words if w in PLACE_WORDS}))
+        names = tuple(w for w in words if full(w) not in PLACE_WORDS and w not in self.common and not self._common_spelling(w))
+        return names, tuple(sorted({full(w) for w in words if full(w) in PLACE_WORDS}))
 
     def _common_spelling(self, w: str) -> bool:
         got = self._memo.get(w)

@@ -1,13 +1,14 @@
-"""Queries of the general problems (2, 5 and 6) and their SQL."""
+"""Queries of the linking problems (2, 5 and 6) and their SQL."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from caselens.operators.addresses import link_addresses
-from caselens.operators.components import connected_components
-from caselens.operators.names import link_names, same_cluster_pairs
+from caselens.llm.addresses import link_addresses
+from caselens.llm.components import connected_components
+from caselens.llm.linkage import same_cluster_pairs
+from caselens.llm.names import link_names
 from caselens.tables import table
 
 

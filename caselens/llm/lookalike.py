@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from caselens.functions.unicode import plain_form
+from caselens.llm.unicode import plain_form
 
 #: A value without any of these is printable ASCII with single inner spaces: its own plain form.
 SUSPECT = r"[^\x20-\x7E]|^ | $|  "

@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import re
+import zlib
+from collections import Counter
 from functools import lru_cache
 
-from caselens.functions.unicode import plain_form
+from caselens.llm.unicode import plain_form
 
 # Titles before or after a name.
 TITLES = frozenset(
@@ -179,9 +181,9 @@ class NameMatcher:
         if len(ta) > len(tb):
             ta, tb = tb, ta
         extra = len(tb) - len(ta)
-        if not ta or len(tb) > 6 or extra > 1 or (extra and (org or len(ta) == 1)):
+        if not ta or extra > 1 or (extra and (org or len(ta) == 1)):
             return 0.0
-        best = self._assign(ta, tb, 0, 0)
+        best = self._assign(ta, tb, 0, 0) if len(tb) <= 5 else self._match(ta, tb)
         if best is None or not best[1]:
             return 0.0
         mean = best[0] / len(ta)
@@ -206,26 +208,96 @@ class NameMatcher:
         return best
 
 
-def name_features(parsed: tuple[str, tuple[str, ...]]) -> list[str]:
-    """Character 3-grams of each part, each with the first letter of another part; acronyms of firms.
+    def _match(self, ta: tuple[str, ...], tb: tuple[str, ...]) -> tuple[float, int] | None:
+        """``_assign`` for any number of parts: equal parts are paired first, the rest by a best matching (shortest
+        augmenting paths). Of more than 60 unequal parts those alike in spelling order are paired."""
+        left, right = list(ta), list(tb)
+        for t in ta:
+            if t in right:
+                left.remove(t)
+                right.remove(t)
+        total, strong = float(len(ta) - len(left)), len(ta) - len(left)
+        if len(right) > 60:
+            left.sort(key=spelling_key)
+            right.sort(key=spelling_key)
+            pairs = list(zip(left, right))
+        else:
+            # potentials u, v; row i of ``left`` is given a column of ``right``
+            n, m = len(left), len(right)
+            cost = [[1.0 - (self.token(x, y) or -9.0) for y in right] for x in left]
+            u, v, of = [0.0] * (n + 1), [0.0] * (m + 1), [0] * (m + 1)
+            for i in range(1, n + 1):
+                of[0], j0 = i, 0
+                dist, used, way = [float("inf")] * (m + 1), [False] * (m + 1), [0] * (m + 1)
+                while of[j0]:
+                    used[j0], i0, delta, j1 = True, of[j0], float("inf"), 0
+                    for j in range(1, m + 1):
+                        if not used[j]:
+                            d = cost[i0 - 1][j - 1] - u[i0] - v[j]
+                            if d < dist[j]:
+                                dist[j], way[j] = d, j0
+                            if dist[j] < delta:
+                                delta, j1 = dist[j], j
+                    for j in range(m + 1):
+                        if used[j]:
+                            u[of[j]] += delta
+                            v[j] -= delta
+                        else:
+                            dist[j] -= delta
+                    j0 = j1
+                while j0:
+                    of[j0], j0 = of[way[j0]], way[j0]
+            pairs = [(left[of[j] - 1], right[j - 1]) for j in range(1, m + 1) if of[j]]
+        for x, y in pairs:
+            s = self.token(x, y)
+            if s <= 0:
+                return None
+            total, strong = total + s, strong + (s > 0.6)
+        return total, strong
+
+
+BUCKETS = 1 << 20
+
+
+@lru_cache(maxsize=50_000)
+def _part(token: str) -> tuple[tuple[str, ...], tuple[str, ...]]:
+    """First letters and n-grams of a part, for every name that it may be short for."""
+    firsts, grams = [], []
+    for k in _NICK.get(token, (spelling_key(token),)):
+        firsts.append(k[:1])
+        if len(k) > 1:
+            s = f"^{k}$"
+            grams += [s[x : x + 3] for x in range(len(s) - 2)]
+            if len(k) > 3:
+                grams.append("~" + "".join(sorted(set(re.sub("[aeiou]", "", k)))))
+    return tuple(firsts), tuple(grams)
+
+
+@lru_cache(maxsize=200_000)
+def _buckets(first: str, token: str) -> tuple[int, ...]:
+    return tuple(zlib.crc32(f"{first}|{g}".encode()) & BUCKETS - 1 for g in _part(token)[1])
+
+
+def name_features(parsed: tuple[str, tuple[str, ...]]) -> list[int]:
+    """Character 3-grams of each part, each with the first letter of another part; acronyms of firms; hashed, sorted.
 
     A 3-gram alone is shared by all who bear a common surname; with the first letter of another part it is shared by
     few, while order, typing errors in one part, initials and missing middle names leave most of them in common.
     """
     kind, tokens = parsed
-    out = []
+    out: set[int] = set()
     if kind == "org":
         word = tokens[0] if len(tokens) == 1 else "".join(t[0] for t in tokens)
-        out += ["@" + word] * 2
-    keys = [_NICK.get(t, (spelling_key(t),)) for t in tokens]
-    for i, own in enumerate(keys):
-        firsts = sorted({k[0] for j, other in enumerate(keys) if j != i for k in other}) or [""]
-        for k in own:
-            if len(k) < 2:
-                continue
-            s = f"^{k}$"
-            grams = [s[x : x + 3] for x in range(len(s) - 2)]
-            if len(k) > 3:
-                grams.append("~" + "".join(sorted(set(re.sub("[aeiou]", "", k)))))
-            out += [f"{first}|{g}" for first in firsts for g in grams]
-    return out or ["." + "".join(sorted(tokens))]
+        out |= {zlib.crc32(f"@{k}{word}".encode()) & BUCKETS - 1 for k in range(2)}
+    # a name of a thousand parts has few distinct parts and first letters
+    parts = Counter(tokens)
+    letters: Counter[str] = Counter()
+    for t, n in parts.items():
+        for f in set(_part(t)[0]):
+            letters[f] += n
+    for t in parts:
+        own = set(_part(t)[0])
+        others = [f for f in letters if letters[f] > (f in own)] or [""]
+        for f in others:
+            out.update(_buckets(f, t))
+    return sorted(out) or [zlib.crc32(("." + "".join(sorted(tokens))).encode()) & BUCKETS - 1]

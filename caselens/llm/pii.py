@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from caselens.functions.names import KIN
+from caselens.llm.namewords import KIN
 from caselens.llm import pii_table
 from caselens.llm.models import model_key, stored
 from caselens.llm.pii_table import TITLES, labelled_texts

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from caselens.llm import bpe
 from caselens.llm import conversations as conv
-from caselens.llm import lookalike, packing, pii, spans
+from caselens.llm import link_queries, lookalike, packing, pii, spans
 from caselens.llm import pairs as pair_defects
 from caselens.session import spread
 from caselens.tables import table
@@ -152,8 +152,10 @@ QUERIES = {
     "p9_fill": p9_fill,
     "p10_found": p10_found,
     "p10_spans": p10_spans,
+    **link_queries.QUERIES,
 }
 SQL = {
+    **link_queries.SQL,
     "p3_found": _P3,
     "p10_found": _P10
     + """SELECT doc_id, CAST(sum(least(400, coalesce(nxt - i, 400))) AS BIGINT) AS shared_chars

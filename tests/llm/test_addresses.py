@@ -1,6 +1,6 @@
-from caselens.functions.addresses import AddressMatcher, align, parse_address, skeleton
-from caselens.operators.addresses import link_addresses, shingles
-from caselens.operators.names import same_cluster_pairs
+from caselens.llm.addresswords import AddressMatcher, align, parse_address, skeleton
+from caselens.llm.addresses import link_addresses, shingles
+from caselens.llm.linkage import same_cluster_pairs
 
 SCHEMA = "record string, beat_code string, address string, form string, block string, id string"
 

@@ -1,4 +1,5 @@
 from caselens.llm.lookalike import canonical_values, plain_rows
+from caselens.llm.unicode import plain_form
 
 SCHEMA = "key string, v string, value string, plain string, form string, k string"
 
@@ -28,3 +29,8 @@ def test_suspect_filter_loses_nothing(spark):
 
 def test_empty(spark):
     assert canonical_values(make(spark, []), "v").count() == 0
+
+
+def test_plain_forms():
+    for bad, good in [("Ｆａｉｓａｌ", "Faisal"), ("Ahm​ed", "Ahmed"), ("Μansооr", "Mansoor"), ("Олег", "Олег"), ("Oлег", "Олег"), ("Chloé", "Chloé"), ("كاشف", "کاشف"), ("a  b ", "a b"), ("2025‑01", "2025-01"), ("１２", "12"), ("", ""), (None, None)]:
+        assert plain_form(bad) == good
