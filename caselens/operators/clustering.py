@@ -1,10 +1,9 @@
-"""Average-linkage clustering of small groups from pairwise similarities, and groups of rows handed to Python."""
+"""Groups of rows handed to Python."""
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
@@ -33,36 +32,3 @@ def map_groups(rows: DataFrame, key: str, order: list[str], f: Callable[[list[tu
             yield pd.DataFrame(f(held), columns=names)
 
     return rows.repartition(key).sortWithinPartitions(key, *order).mapInPandas(run, schema)
-
-
-def average_linkage(sim: np.ndarray, threshold: float) -> np.ndarray:
-    """Cluster number of each row of a symmetric similarity matrix.
-
-    The two clusters with the largest mean similarity are merged while it is at least ``threshold``; ties take the
-    smallest row numbers, so the result depends on the order of the rows only.
-    """
-    n = len(sim)
-    label = np.arange(n)
-    if n < 2:
-        return label
-    s = sim.astype(float).copy()
-    np.fill_diagonal(s, -np.inf)
-    size = np.ones(n)
-    best = s.argmax(axis=1)
-    value = s[np.arange(n), best]
-    while True:
-        i = int(value.argmax())
-        if not value[i] >= threshold:
-            return label
-        i, j = sorted((i, int(best[i])))
-        row = (s[i] * size[i] + s[j] * size[j]) / (size[i] + size[j])
-        row[i] = -np.inf
-        s[i], s[:, i] = row, row
-        s[j], s[:, j] = -np.inf, -np.inf
-        size[i] += size[j]
-        label[label == j] = i
-        value[j] = -np.inf
-        stale = np.flatnonzero(((best == i) | (best == j) | (s[:, i] > value)) & (value > -np.inf))
-        for k in {i, *stale.tolist()}:
-            best[k] = s[k].argmax()
-            value[k] = s[k, best[k]]

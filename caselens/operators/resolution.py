@@ -11,6 +11,7 @@ from pyspark.sql import Window as W
 
 from caselens.operators.clustering import map_groups
 from caselens.operators.components import connected_components
+from caselens.operators.skew import hot_join
 from caselens.session import Scratch
 
 # Thresholds of the tiers.
@@ -199,7 +200,7 @@ def _by_first(pending: DataFrame, edge: str, column: str) -> DataFrame:
     """Every edge linked to the first edge with the same value: as many links as edges, whatever the value's share."""
     p = pending.select(F.col(edge).alias("dst"), F.col(column).alias("v")).where("v is not null")
     first = p.groupBy("v").agg(F.min("dst").alias("src"))
-    return p.join(first, "v").select("src", "dst")
+    return hot_join(p, first, "v").select("src", "dst")
 
 
 def decide(edges: DataFrame, decisions: DataFrame, edge: str = "edge_id") -> DataFrame:

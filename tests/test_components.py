@@ -52,17 +52,14 @@ def test_long_path_star_and_random(spark):
     assert run(spark, links) == brute(links)
 
 
-def test_hot_vertices_take_the_broadcast_path(spark, monkeypatch):
-    import caselens.operators.components as c
-
-    links = [(f"v{i:05}", "a-hub") for i in range(300)] + [(f"v{i:05}", f"w{i:05}") for i in range(300)]
-    df = spark.createDataFrame(links, "src string, dst string")
-    pairs = df.select(F.col("dst").alias("k"), F.col("src").alias("x"))
-    mins = pairs.groupBy("k").agg(F.min("x").alias("m"), F.count(F.lit(1)).alias("deg"))
-    monkeypatch.setattr(c, "max", lambda a, b: 50, raising=False)
-    split = c._with_min(pairs, mins, 600, 10)
-    assert "Broadcast" in split._jdf.queryExecution().toString()
-    assert sorted(map(tuple, split.select("k", "x", "m").collect())) == sorted(map(tuple, pairs.join(mins.select("k", "m"), "k").select("k", "x", "m").collect()))
+def test_hot_keys_join_like_others(spark):
+    from caselens.operators.skew import hot_join
+
+    rows = spark.range(600).selectExpr("CASE WHEN id % 3 = 0 THEN 'hub' WHEN id % 50 = 1 THEN NULL ELSE concat('v', id % 7) END AS k", "id AS x")
+    lookup = spark.createDataFrame([("hub", 1), ("v1", 2), ("v2", 3)], "k string, m int")
+    for how in ("inner", "left"):
+        want = sorted(map(tuple, rows.join(lookup, "k", how).select("k", "x", "m").collect()), key=str)
+        assert sorted(map(tuple, hot_join(rows, lookup, "k", how, share=10, least=20).select("k", "x", "m").collect()), key=str) == want
 
 
 def test_integers(spark):
