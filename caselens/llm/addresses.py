@@ -118,8 +118,8 @@ def link_addresses(
     posts = scratch.save(posts, "posts")
     pairs = posts.withColumnRenamed("id", "a").join(posts.withColumnRenamed("id", "b"), "k").where("a < b").select("a", "b").distinct()
     known = units.select("id", "form")
-    pairs = hot_join(pairs.withColumnRenamed("a", "id"), known, "id").select(F.col("id").alias("a"), "b", F.col("form").alias("fa"))
-    pairs = hot_join(pairs.withColumnRenamed("b", "id"), known, "id").select("a", F.col("id").alias("b"), "fa", F.col("form").alias("fb"))
+    pairs = pairs.withColumnRenamed("a", "id").join(known, "id").select(F.col("id").alias("a"), "b", F.col("form").alias("fa"))
+    pairs = pairs.withColumnRenamed("b", "id").join(known, "id").select("a", F.col("id").alias("b"), "fa", F.col("form").alias("fb"))
 
     def verify(batches):  # noqa: ANN001, ANN202
         m = sent.value

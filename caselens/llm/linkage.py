@@ -132,7 +132,8 @@ def same_cluster_pairs(linked: DataFrame, record: str = "record", cluster: str =
     The records of a cluster are dealt to one part per ``at_once`` of them, and every part meets the whole cluster in
     a task of its own.
     """
-    m = linked.select(F.col(cluster).alias("c"), F.col(record).alias("record")).where("c is not null and record is not null").distinct()
+    scratch = Scratch(linked.sparkSession, "pairs")
+    m = scratch.save(linked.select(F.col(cluster).alias("c"), F.col(record).alias("record")).where("c is not null and record is not null").distinct(), "members")
     sizes = m.groupBy("c").agg(F.ceil(F.count(F.lit(1)) / at_once).alias("parts"))
     m = hot_join(m, sizes.where("parts > 1"), "c", "left").select("c", "record", F.coalesce("parts", F.lit(1).cast("long")).alias("parts"))
     a = m.select("c", F.pmod(F.xxhash64("record"), F.col("parts")).alias("part"), F.col("record").alias("record_a"))

@@ -167,8 +167,8 @@ def link_names(
     pairs = left.join(right, "k").where("a < b").groupBy("a", "b").agg(F.sum(F.col("wa") * F.col("wb")).alias("s"), F.max(F.col("ra") * F.col("rb")).alias("q"))
     pairs = pairs.where(F.col("s") + F.col("q") >= min_cosine - 1e-4).select("a", "b")
     known = units.select("id", "form", "mark")
-    pairs = hot_join(pairs.withColumnRenamed("a", "id"), known, "id").select(F.col("id").alias("a"), "b", F.col("form").alias("fa"), F.col("mark").alias("ma"))
-    pairs = hot_join(pairs.withColumnRenamed("b", "id"), known, "id").select("a", F.col("id").alias("b"), "fa", "ma", F.col("form").alias("fb"), F.col("mark").alias("mb"))
+    pairs = pairs.withColumnRenamed("a", "id").join(known, "id").select(F.col("id").alias("a"), "b", F.col("form").alias("fa"), F.col("mark").alias("ma"))
+    pairs = pairs.withColumnRenamed("b", "id").join(known, "id").select("a", F.col("id").alias("b"), "fa", "ma", F.col("form").alias("fb"), F.col("mark").alias("mb"))
     pairs = pairs.where("ma is null or mb is null or ma = mb")
 
     def verify(batches):  # noqa: ANN001, ANN202
