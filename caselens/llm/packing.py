@@ -20,6 +20,8 @@ from caselens.session import Scratch
 
 #: Weights of what is left of tokens, documents and attention cost.
 WEIGHTS = (1.0, 0.02, 0.1)
+#: Share of a capacity squared that the cost of a container may reach: one long item leaves less of it than of tokens.
+COST = 0.9
 
 
 def vector_best_fit(sizes: np.ndarray, capacity: int, max_items: int, max_cost: float, weights=WEIGHTS) -> np.ndarray:
@@ -81,11 +83,12 @@ def pack(
     ``capacities`` maps window ids to token capacities. An item larger than a capacity is cut into pieces of exactly
     the capacity and a rest (piece_no from 1, token_start the place in the item); every other item is one piece,
     items of size 0 included. Null sizes count as 0, null keys are packed like any other, repeated rows are separate
-    items. ``max_items`` and ``max_cost`` (by window, default capacity squared) are the other two capacities; a
-    ``max_cost`` below the square of an item's size leaves that item a container of its own.
+    items. ``max_items`` and ``max_cost`` are the other two capacities; the cost of a container is the sum of its
+    items' squares (what attention within items costs), by default at most ``COST`` of the capacity squared. An item
+    whose square is over it has a container of its own.
     """
     max_cost = max_cost or {}
-    limits = {w: (int(c), max_items, float(max_cost.get(w, c * c))) for w, c in capacities.items()}
+    limits = {w: (int(c), max_items, float(max_cost.get(w, COST * c * c))) for w, c in capacities.items()}
     if not limits or min(c for c, _, _ in limits.values()) < 1:
         raise ValueError("capacities must be positive")
     base = items.select(F.col(key).cast("long").alias("doc_id"), F.coalesce(F.col(size).cast("long"), F.lit(0)).alias("size"))
@@ -111,13 +114,18 @@ def pack(
     return filled.select(*names).unionByName(packed)
 
 
-def fill(packed: DataFrame, capacities: dict[int, int]) -> DataFrame:
-    """Per window: containers, pieces, tokens, and the share of the capacity that is used."""
-    cap = F.create_map(*[F.lit(x) for w, c in sorted(capacities.items()) for x in (w, c)])
-    per = packed.groupBy("window_id").agg(
-        F.countDistinct("container_id").alias("containers"), F.count(F.lit(1)).alias("pieces"), F.sum("tokens").alias("tokens")
+def fill(packed: DataFrame, capacities: dict[int, int], max_items: int = 256) -> DataFrame:
+    """Per window: containers, pieces, tokens, and the share of each capacity that is used (tokens, documents, cost)."""
+    cap = F.create_map(*[F.lit(x) for w, c in sorted(capacities.items()) for x in (w, c)])[F.col("window_id")]
+    each = packed.groupBy("window_id", "container_id").agg(F.count(F.lit(1)).alias("n"), F.sum("tokens").alias("t"), F.sum(F.col("tokens") * F.col("tokens")).alias("c"))
+    per = each.groupBy("window_id").agg(
+        F.count(F.lit(1)).alias("containers"), F.sum("n").alias("pieces"), F.sum("t").alias("tokens"), F.sum("c").alias("cost")
+    )
+    share = lambda x, most: F.round(F.col(x) / (F.col("containers") * most), 6)
+    return per.select(
+        "window_id", "containers", "pieces", "tokens",
+        share("tokens", cap).alias("fill"), share("pieces", F.lit(max_items)).alias("fill_documents"), share("cost", COST * cap * cap).alias("fill_cost"),
     )
-    return per.withColumn("fill", F.round(F.col("tokens") / (F.col("containers") * cap[F.col("window_id")]), 6))
 
 
 def windows(table: DataFrame) -> dict[int, int]:

@@ -13,22 +13,18 @@ from caselens.session import spread
 from caselens.tables import table
 
 
-def _plain(spark: SparkSession, sf_dir: str, only_suspect: bool) -> DataFrame:
+def p1_plain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every value with its plain form."""
     parts = []
     for name, key, column in (("entity_summaries", "entity_id", "canonical_name"), ("field_matches", "match_id", "normalized")):
-        rows = lookalike.plain_rows(table(spark, sf_dir, name), key, column, only_suspect)
+        rows = lookalike.plain_rows(table(spark, sf_dir, name), key, column)
         parts.append(rows.select(F.lit(name).alias("table_name"), "row_key", "value", "plain"))
     return parts[0].unionByName(parts[1])
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows whose value differs from its plain form."""
-    return _plain(spark, sf_dir, True).where("value <> plain").select("table_name", "row_key").distinct()
-
-
-def p1_plain(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every value with its plain form."""
-    return _plain(spark, sf_dir, False)
+    return p1_plain(spark, sf_dir).where("value <> plain").select("table_name", "row_key").distinct()
 
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:

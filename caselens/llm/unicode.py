@@ -61,20 +61,24 @@ def _own_script(word: str, around: str) -> str:
     return max(sorted(have), key=lambda s: (have[s], s == "LATIN"))
 
 
-def plain_form(value: str | None) -> str | None:
+def plain_form(value: str | None, composed: bool = True) -> str | None:
     """The one plain form of ``value``; null stays null, and a plain value comes back as it is.
 
     Compatibility forms (full width, mathematical, ligatures, presentation forms) become ordinary letters, accents
     are composed, silent characters go, digits, hyphens and spaces become the ASCII ones, Arabic code points become
-    those of an Urdu keyboard, and every word gets the letters of its own script.
+    those of an Urdu keyboard, and every word gets the letters of its own script. Without ``composed`` only letters
+    are mapped: accents and silent characters stay as they were typed.
     """
     if value is None or not _ODD.search(value):
         return value
-    s = "".join(c for c in unicodedata.normalize("NFKC", value) if not silent(c))
-    s = unicodedata.normalize("NFC", s)
+    if composed:
+        s = "".join(c for c in unicodedata.normalize("NFKC", value) if not silent(c))
+        s = unicodedata.normalize("NFC", s)
+    else:
+        s = "".join(c if unicodedata.combining(c) or silent(c) else unicodedata.normalize("NFKC", c) for c in value)
     if any("؀" <= c <= "ۿ" for c in s):
         s = s.translate(_URDU).replace("یٔ", "ئ").replace("ـ", "")
-        s = unicodedata.normalize("NFC", s)
+        s = unicodedata.normalize("NFC", s) if composed else s
     out = []
     for c in s:
         kind = unicodedata.category(c)
@@ -100,6 +104,7 @@ def plain_form(value: str | None) -> str | None:
                     continue
             own = _own_script(w, around)
             table = _TO_LATIN if own == "LATIN" else _BACK.get(own, {})
-            fixed.append(unicodedata.normalize("NFC", "".join(table.get(c, c) for c in unicodedata.normalize("NFD", w))))
+            w = "".join(table.get(c, c) for c in unicodedata.normalize("NFD", w))
+            fixed.append(unicodedata.normalize("NFC", w) if composed else w)
         words = fixed
     return " ".join(words)
