@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from caselens.operators.skew import hot_join
+from caselens.session import Scratch
+
 
 def recurring(membership: DataFrame, entity: str, case: str, limit: int | None = 10, min_cases: int = 2) -> DataFrame:
     """Entities by number of distinct cases: the largest ``limit`` first, and of those the ones in ``min_cases`` or more."""
@@ -105,22 +108,19 @@ def edge_weights(associated: DataFrame, shared: DataFrame, per_confidence: float
     return both.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.round(F.sum("w"), 6).alias("weight"))
 
 
-def shared_groups(membership: DataFrame, entity: str, group: str, largest: int = 200) -> DataFrame:
+def shared_groups(membership: DataFrame, entity: str, group: str, at_once: int = 1000) -> DataFrame:
     """Pairs ``(a, b, n)`` of entities with their number of common groups.
 
-    Groups with more than ``largest`` entities would give pairs in their square: they stand for no relation between
-    two entities and are returned by ``crowded_groups`` instead.
+    The members of a group are dealt to one part per ``at_once`` of them, and every part meets the whole group in a
+    task of its own, so no task holds a large group; the counts are added up before they are shuffled.
     """
     m = membership.select(F.col(entity).alias("e"), F.col(group).alias("g")).where("e is not null and g is not null").distinct()
-    sizes = m.groupBy("g").agg(F.count(F.lit(1)).alias("n")).where(F.col("n").between(2, largest))
-    m = m.join(sizes.select("g"), "g", "left_semi")
-    a, b = m.withColumnRenamed("e", "a"), m.withColumnRenamed("e", "b")
-    return a.join(b, "g").where("a < b").groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"))
-
-
-def crowded_groups(membership: DataFrame, entity: str, group: str, largest: int = 200) -> DataFrame:
-    """Groups that ``shared_groups`` leaves out, with their sizes."""
-    return membership.groupBy(F.col(group).alias("g")).agg(F.countDistinct(entity).alias("n")).where(F.col("n") > largest)
+    m = Scratch(membership.sparkSession, "groups").save(m, "members")  # read four times
+    sizes = m.groupBy("g").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("g", F.ceil(F.col("n") / at_once).alias("parts"))
+    m = hot_join(m, sizes, "g")
+    a = m.select("g", F.pmod(F.xxhash64("e"), F.col("parts")).alias("part"), F.col("e").alias("a"))
+    b = m.select("g", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"), F.col("e").alias("b"))
+    return a.join(b, ["g", "part"]).where("a < b").groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"))
 
 
 def confusable(rows: DataFrame, name: str, mark: str) -> DataFrame:

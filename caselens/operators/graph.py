@@ -35,18 +35,19 @@ def append_edges(edges: DataFrame, new: DataFrame, nodes: DataFrame) -> DataFram
     return n.select("edge_id", "src", "dst", "supersedes", status.alias("status"))
 
 
-def history(edges: DataFrame, steps: int = 8) -> DataFrame:
-    """``(edge_id, newest, versions)``: the end of each edge's chain of versions, by doubling the pointers."""
+def history(edges: DataFrame, max_rounds: int = 64) -> DataFrame:
+    """``(edge_id, newest, versions)``: the end of each edge's chain of versions, by doubling the pointers until none
+    moves. A chain that runs in a circle has no end and raises."""
     scratch = Scratch(edges.sparkSession, "history")
     p = scratch.save(edges.select("edge_id", F.coalesce("superseded_by", "edge_id").alias("to"), F.when(F.col("superseded_by").isNull(), 0).otherwise(1).alias("n")), "p")
-    for _ in range(steps):
+    for _ in range(max_rounds):
         nxt = p.join(p.select(F.col("edge_id").alias("to"), F.col("to").alias("to2"), F.col("n").alias("n2")), "to", "left")
         nxt = scratch.save(nxt.select("edge_id", F.coalesce("to2", "to").alias("to"), (F.col("n") + F.coalesce("n2", F.lit(0))).alias("n")), "p")
-        if nxt.join(p, "edge_id").where(nxt["to"] != p["to"]).limit(1).count() == 0:
-            p = nxt
-            break
+        before = p.select("edge_id", F.col("to").alias("was"))
+        if nxt.join(before, "edge_id").where("to <> was").limit(1).count() == 0:
+            return nxt.select("edge_id", F.col("to").alias("newest"), (F.col("n") + 1).alias("versions"))
         p = nxt
-    return p.select("edge_id", F.col("to").alias("newest"), (F.col("n") + 1).alias("versions"))
+    raise RuntimeError(f"no fixed point after {max_rounds} rounds: versions run in a circle")
 
 
 def canonical(same_as: DataFrame) -> DataFrame:
@@ -151,9 +152,10 @@ def louvain(edges: list[tuple[str, str, float]], seed: int = 42) -> dict[str, st
     return {x: first[c] for x, c in zip(nodes, member.tolist())}
 
 
-def communities(weights: DataFrame, largest: int = 200_000, rounds: int = 12) -> DataFrame:
+def communities(weights: DataFrame, largest: int = 200_000, max_rounds: int = 100) -> DataFrame:
     """``(id, community)`` from ``(a, b, weight)``: Louvain within each connected component of up to ``largest`` edges;
-    larger components, which no single task should hold, by weighted label propagation over all workers."""
+    larger components, which no single task should hold, by weighted label propagation over all workers until no label
+    changes in two rounds (or ``max_rounds`` are over: labels may go on changing places)."""
     spark = weights.sparkSession
     scratch = Scratch(spark, "communities")
     w = scratch.save(weights.where("a <> b and weight > 0").select("a", "b", "weight"), "w")
@@ -171,12 +173,19 @@ def communities(weights: DataFrame, largest: int = 200_000, rounds: int = 12) ->
         return small
     both = scratch.save(big.unionByName(big.select(F.col("b").alias("a"), F.col("a").alias("b"), "weight")), "both")
     label = scratch.save(both.select(F.col("a").alias("id")).distinct().withColumn("community", F.col("id")), "label")
-    for k in range(rounds):
+    still = 0
+    for k in range(max_rounds):
         votes = both.join(label.select(F.col("id").alias("b"), "community"), "b").groupBy("a", "community").agg(F.sum("weight").alias("s"))
-        win = votes.groupBy(F.col("a").alias("id")).agg(F.max_by("community", F.struct("s", "community")).alias("won"))
+        # of equally strong labels the own one stays
+        own = votes.join(label.select(F.col("id").alias("a"), F.col("community").alias("own")), "a")
+        win = own.groupBy(F.col("a").alias("id")).agg(F.max_by("community", F.struct("s", F.col("community") == F.col("own"), "community")).alias("won"))
         # half of the vertices move in each round, so that two neighbours don't swap for ever
         turn = F.pmod(F.xxhash64("id"), F.lit(2)) == k % 2
-        label = scratch.save(label.join(win, "id").select("id", F.when(turn, F.col("won")).otherwise(F.col("community")).alias("community")), "label")
+        nxt = scratch.save(label.join(win, "id").select("id", F.when(turn, F.col("won")).otherwise(F.col("community")).alias("community"), F.col("community").alias("was")), "label")
+        still = still + 1 if nxt.where("community <> was").limit(1).count() == 0 else 0
+        label = nxt.select("id", "community")
+        if still == 2:
+            break
     return small.unionByName(label)
 
 

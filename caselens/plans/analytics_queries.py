@@ -251,11 +251,11 @@ def m_er_score(spark, d):
     return p.select("edge_id", F.round(s, 6).alias("score")).distinct()
 
 
-@query("m_compound", "SELECT candidate.entity_id AS entity_id, round(least(1, product(confidence)), 6) AS p FROM pending_matches WHERE confidence IS NOT NULL AND candidate.entity_id IS NOT NULL GROUP BY 1 HAVING count(*) <= 3")
+@query("m_compound", "SELECT candidate.entity_id AS entity_id, round(least(1, product(confidence)), 6) AS p FROM pending_matches WHERE confidence IS NOT NULL AND candidate.entity_id IS NOT NULL GROUP BY 1")
 def m_compound(spark, d):
     p = table(spark, d, "pending_matches").where("confidence is not null and candidate.entity_id is not null")
-    g = p.groupBy(F.col("candidate.entity_id").alias("entity_id")).agg(F.product("confidence").alias("p"), F.count(F.lit(1)).alias("n"))
-    return g.where("n <= 3").select("entity_id", F.round(F.least(F.lit(1.0), "p"), 6).alias("p"))
+    g = p.groupBy(F.col("candidate.entity_id").alias("entity_id")).agg(F.product("confidence").alias("p"))
+    return g.select("entity_id", F.round(F.least(F.lit(1.0), "p"), 6).alias("p"))
 
 
 @query("js_props", "SELECT event_id, CAST(json_extract(props, '$.k') AS INT) AS k FROM events")

@@ -130,7 +130,7 @@ def gv_edge(spark, d):
     return gr.append_edges(old, new, nodes).groupBy("status").agg(F.count(F.lit(1)).alias("n"))
 
 
-_TRAV = """WITH RECURSIVE e AS (SELECT mention.entity_id AS a, candidate.entity_id AS b, max(coalesce(confidence, 1)) AS c FROM pending_matches WHERE mention.entity_id <> candidate.entity_id AND candidate.entity_id <> 'PERSON-000000000' GROUP BY 1, 2),
+_TRAV = """WITH RECURSIVE e AS (SELECT mention.entity_id AS a, candidate.entity_id AS b, max(coalesce(confidence, 1)) AS c FROM pending_matches WHERE mention.entity_id <> candidate.entity_id GROUP BY 1, 2),
  w0 AS (SELECT a, b, c FROM e UNION ALL SELECT b, a, c FROM e), w AS (SELECT a, b, max(c) AS c FROM w0 GROUP BY 1, 2), s0 AS (SELECT DISTINCT mention.entity_id AS node FROM pending_matches WHERE source_doc_id = 1),
  h1 AS (SELECT w.b AS node, max(w.c) AS c FROM s0 JOIN w ON w.a = s0.node WHERE w.b NOT IN (SELECT node FROM s0 WHERE node IS NOT NULL) GROUP BY 1),
  h2 AS (SELECT w.b AS node, max(h1.c * w.c) AS c FROM h1 JOIN w ON w.a = h1.node WHERE w.b NOT IN (SELECT node FROM s0 WHERE node IS NOT NULL) AND w.b NOT IN (SELECT node FROM h1) GROUP BY 1)
@@ -141,7 +141,7 @@ _TRAV = """WITH RECURSIVE e AS (SELECT mention.entity_id AS a, candidate.entity_
 def gt_traverse(spark, d):
     p = table(spark, d, "pending_matches")
     seeds = p.where("source_doc_id = 1").select(F.col("mention.entity_id").alias("node")).where("node is not null")
-    edges = _pending(spark, d).where("b <> 'PERSON-000000000'").select("a", "b", F.lit("associated").alias("kind"), "confidence")
+    edges = _pending(spark, d).select("a", "b", F.lit("associated").alias("kind"), "confidence")
     return gr.traverse(seeds, edges, 2)
 
 

@@ -27,29 +27,11 @@ _R = Registry()
 QUERIES, SQL, query = _R.QUERIES, _R.SQL, _R.query
 
 
-@query("src_validate")
-def src_validate(spark, d):
-    f = spark.read.format("binaryFile").option("pathGlobFilter", "*nation.parquet").option("recursiveFileLookup", "true").load(d)
-    return files.check(f).select(F.regexp_extract("path", r"([^/]+)$", 1).alias("name"), "extension", "problem")
-
-
-@query("src_csv", "SELECT station_code, concat_ws(' | ', 'station_name: ' || station_name, 'district: ' || district, 'desk_phone: ' || desk_phone) AS text FROM stations")
-def src_csv(spark, d):
-    cells = [F.when(F.col(c).isNotNull() & (F.col(c) != ""), F.concat(F.lit(f"{c}: "), c)) for c in ("station_name", "district", "desk_phone")]
-    return table(spark, d, "stations").select("station_code", F.concat_ws(" | ", *cells).alias("text"))
-
-
 @query("src_mcp_sql", "SELECT lang, count(*) AS n FROM documents GROUP BY 1")
 def src_mcp_sql(spark, d):
     return spark.sql("SELECT lang, count(*) AS n FROM {docs} GROUP BY 1", docs=table(spark, d, "documents"))
 
 
-@query("src_dir", "SELECT source, count(*) AS documents, CAST(sum(greatest(1, ceil(n_chars / 512.0))) AS BIGINT) AS windows FROM documents WHERE source IS NOT NULL GROUP BY 1")
-def src_dir(spark, d):
-    docs = table(spark, d, "documents").where("source is not null")
-    return docs.groupBy("source").agg(F.count(F.lit(1)).alias("documents"), F.sum(F.greatest(F.lit(1), F.ceil(F.col("n_chars") / 512.0))).cast("long").alias("windows"))
-
-
 @query("src_meta", "SELECT doc_id, concat_ws(';', 'lang=' || lang, 'type=' || doc_type, 'case=' || case_id) AS meta FROM documents")
 def prj_meta(spark, d):
     kv = [F.concat(F.lit(f"{k}="), F.col(c)) for k, c in (("lang", "lang"), ("type", "doc_type"), ("case", "case_id"))]

@@ -13,6 +13,7 @@ from xml.etree import ElementTree
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 MAX_BYTES = 50 * 1024 * 1024
 MAX_RATIO, MAX_UNPACKED = 100, 2 * 1024**3
@@ -27,13 +28,37 @@ def extension(path: Column) -> Column:
     return F.lower(F.regexp_extract(path, r"\.([A-Za-z0-9]+)$", 1))
 
 
+@F.pandas_udf(T.BooleanType())
+def _unpacks(content: pd.Series) -> pd.Series:
+    """Whether an archive stays within the limits of ``_guard``; true for what is no archive."""
+    def fits(data: bytes) -> bool:
+        try:
+            with zipfile.ZipFile(io.BytesIO(bytes(data))) as z:
+                _guard(z)
+        except ValueError:
+            return False
+        except zipfile.BadZipFile:
+            return True
+        return True
+
+    return content.map(fits, na_action="ignore")
+
+
 def check(files: DataFrame) -> DataFrame:
-    """``(path, length, extension, problem)`` of binary files: too large, or not what the extension says."""
+    """``(path, length, extension, problem)`` of binary files: of unknown kind, empty, too large, not what the extension
+    says, or an archive that unpacks to too much. Null where a file may be read."""
     ext = extension(F.col("path"))
     magic = F.create_map(*[F.lit(x) for k, v in MAGIC.items() for x in (k, v)])[ext]
     head = F.hex(F.substring("content", 1, 8))
-    problem = F.when(F.col("length") > MAX_BYTES, "too_large").when(magic.isNotNull() & ~head.startswith(magic), "wrong_magic")
-    return files.select("path", "length", ext.alias("extension"), problem.alias("problem"))
+    first = (
+        F.when(~ext.isin([*LOADERS, *MAGIC]), "extension")
+        .when(F.col("length") == 0, "empty")
+        .when(F.col("length") > MAX_BYTES, "too_large")
+        .when(magic.isNotNull() & ~head.startswith(magic), "wrong_magic")
+    )
+    zipped = ext.isin("docx", "xlsx") & (F.col("length") <= MAX_BYTES)
+    out = files.select("path", "length", ext.alias("extension"), first.alias("first"), _unpacks(F.when(zipped, F.col("content"))).alias("fits"))
+    return out.select("path", "length", "extension", F.coalesce("first", F.when(~F.col("fits"), "unpacks_to_too_much")).alias("problem"))
 
 
 class _Sections(HTMLParser):

@@ -200,11 +200,18 @@ def test_as_of(spark):
     assert got == {("k", 5): None, ("k", 1): None, ("z", 9): None}
 
 
-def test_shared_groups_name_what_they_leave_out(spark):
-    rows = [(f"e{i}", "crowd") for i in range(6)] + [("e0", "g"), ("e1", "g"), (None, "g"), ("e1", None)]
+def test_shared_groups_of_any_size(spark):
+    rows = [(f"e{i:03}", "crowd") for i in range(60)] + [("e000", "g"), ("e001", "g"), (None, "g"), ("e001", None)]
     df = spark.createDataFrame(rows, "e string, g string")
-    assert [tuple(r) for r in agg.shared_groups(df, "e", "g", largest=5).collect()] == [("e0", "e1", 1)]
-    assert [tuple(r) for r in agg.crowded_groups(df, "e", "g", largest=5).collect()] == [("crowd", 6)]
+    got = {(r.a, r.b): r.n for r in agg.shared_groups(df, "e", "g", at_once=7).collect()}
+    assert len(got) == 60 * 59 // 2 and got[("e000", "e001")] == 2 and sum(got.values()) == 60 * 59 // 2 + 1
+
+
+def test_history_of_a_long_chain(spark):
+    v = spark.range(1, 601).selectExpr("id edge_id", "nullif(id + 1, 601) superseded_by")
+    assert {tuple(r)[1:] for r in gr.history(v).where("edge_id = 1").collect()} == {(600, 600)}
+    with pytest.raises(RuntimeError):
+        gr.history(spark.createDataFrame([(1, 2), (2, 3), (3, 1)], "edge_id long, superseded_by long"), max_rounds=4)
 
 
 def test_candidates_are_all_pairs(spark):
