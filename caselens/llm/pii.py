@@ -41,6 +41,8 @@ _FORMATS = [
     ("p", re.compile(rf"(?<![\d\w])(?:(?:\+92|0092){_SEP}?\d{{3}}|\(0\d{{3}}\)|0\d{{3}}){_SEP}?\d{{3}}{_SEP}?\d{{4}}(?!\d)")),
     ("m", re.compile(r"(?<!\d)\d{14,}(?!\d)")),
 ]
+# what every match of a format holds
+_MAIL, _NUMBER = re.compile(r"@|[\[(]at[\])]", re.I), re.compile(r"\d{3}")
 
 
 def _h(s: str) -> int:
@@ -72,19 +74,20 @@ def _attributes(token: str) -> list[str]:
 
 def tokenize(text: str) -> tuple[list[str], list[int], list[int]]:
     """Tokens with their glue and format marks, and their places in the text."""
-    flat = text.translate(_DIGITS)
-    form = {}
+    flat = text if text.isascii() else text.translate(_DIGITS)
+    form: dict[int, str] = {}
+    mail, number = _MAIL.search(flat), _NUMBER.search(flat)
     for mark, pattern in _FORMATS:
-        for m in pattern.finditer(flat):
-            for at in range(m.start(), m.end()):
-                form.setdefault(at, mark.upper() if at == m.start() else mark)
-    tokens, starts, ends, last = [], [], [], -1
-    for m in _TOKEN.finditer(flat):
-        s = m.start()
-        tokens.append(("+" if s == last else "-") + form.get(s, "o") + m[0])
-        starts.append(s)
-        last = m.end()
-        ends.append(last)
+        if mail if mark == "e" else number:
+            for m in pattern.finditer(flat):
+                for at in range(m.start(), m.end()):
+                    form.setdefault(at, mark.upper() if at == m.start() else mark)
+    spans = [m.span() for m in _TOKEN.finditer(flat)]
+    starts, ends = [a for a, _ in spans], [b for _, b in spans]
+    if form:
+        tokens = [("+" if a == last else "-") + form.get(a, "o") + flat[a:b] for (a, b), last in zip(spans, [-1, *ends])]
+    else:
+        tokens = [("+o" if a == last else "-o") + flat[a:b] for (a, b), last in zip(spans, [-1, *ends])]
     return tokens, starts, ends
 
 
@@ -159,12 +162,13 @@ class Crf:
                 back[:live, t] = cand.argmax(axis=1)
                 best[:live] = cand.max(axis=1) + e[:live, t]
             label = best.argmax(axis=1)
+            y = np.zeros((len(part), width), dtype=np.int64)
+            y[np.arange(len(part)), sizes - 1] = label
+            for t in range(width - 1, 0, -1):
+                live = int(np.searchsorted(-sizes, -t, side="left"))
+                y[:live, t - 1] = back[np.arange(live), t, y[:live, t]]
             for r, k in enumerate(part):
-                y = np.zeros(sizes[r], dtype=np.int64)
-                y[-1] = label[r]
-                for t in range(sizes[r] - 1, 0, -1):
-                    y[t - 1] = back[r, t, y[t]]
-                out[k] = y
+                out[k] = y[r, : sizes[r]]
         return out
 
 
