@@ -18,9 +18,9 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from caselens.llm.namewords import KIN
 from caselens.llm import pii_table
 from caselens.llm.models import model_key, stored
+from caselens.llm.namewords import KIN
 from caselens.llm.pii_table import TITLES, labelled_texts
 
 KINDS = ["email", "phone", "identity_number", "address", "name"]
@@ -32,11 +32,11 @@ TRAINING = (2000, 4)
 _OFFSETS = (-3, -2, -1, 0, 1, 2)
 
 # words, numbers, codes of Latin letters and digits, single signs
-_TOKEN = re.compile(r"(?:[A-Za-z]+\d|\d+[A-Za-z])[A-Za-z0-9]*|[^\W\d_]+|\d+|[^\s\w]|_")
+_TOKEN = re.compile(r"(?:[A-Za-z]++\d|\d++[A-Za-z])[A-Za-z0-9]*|[^\W\d_]+|\d+|[^\s\w]|_")
 _DIGITS = str.maketrans("٠١٢٣٤٥٦٧٨٩۰۱۲۳۴۵۶۷۸۹０１２３４５６７８９", "0123456789" * 3)
 _SEP = r"[\s.\-–—‐‑]"
 _FORMATS = [
-    ("e", re.compile(r"[\w.+\-]+\s?(?:@|\[at\]|\(at\))\s?[\w\-]+(?:(?:\.|\s?\[dot\]\s?|\s?\(dot\)\s?)[\w\-]+)+", re.I)),
+    ("e", re.compile(r"(?<![\w.+\-])[\w.+\-]+\s?(?:@|\[at\]|\(at\))\s?[\w\-]+(?:(?:\.|\s?\[dot\]\s?|\s?\(dot\)\s?)[\w\-]+)+", re.I)),
     ("i", re.compile(rf"(?<![\d\w])\d{{5}}{_SEP}?\d{{7}}{_SEP}?\d(?!\d)")),
     ("p", re.compile(rf"(?<![\d\w])(?:(?:\+92|0092){_SEP}?\d{{3}}|\(0\d{{3}}\)|0\d{{3}}){_SEP}?\d{{3}}{_SEP}?\d{{4}}(?!\d)")),
     ("m", re.compile(r"(?<!\d)\d{14,}(?!\d)")),
