@@ -20,6 +20,15 @@ SECTION = r"(\d{1,3}(?:-[A-Z])?(?:\(\d\))? (?:PPC|CrPC|PECA|CNSA))"
 DISPLAY = r"(?<![\d/])(\d{1,4}/\d{2})(?![\d/])"
 
 
+# Digits of other scripts and dashes, and what they are folded to before a pattern is tried.
+_FROM, _TO = "۰۱۲۳۴۵۶۷۸۹٠١٢٣٤٥٦٧٨٩‐‑‒–—―−", "0123456789" * 2 + "-" * 7
+
+
+def folded(c: Column) -> Column:
+    """Text with ASCII digits and hyphens; its length stays."""
+    return F.translate(c, _FROM, _TO)
+
+
 def _joined(c: Column, pattern: str, groups: int, sep: str = "-") -> Column:
     """All matches of a pattern with its groups joined, in order of appearance."""
     parts = [F.regexp_extract_all(c, F.lit(pattern), F.lit(g)) for g in range(1, groups + 1)]
@@ -29,15 +38,15 @@ def _joined(c: Column, pattern: str, groups: int, sep: str = "-") -> Column:
 
 
 def cnics(c: Column) -> Column:
-    return F.array_distinct(_joined(c, CNIC, 3))
+    return F.array_distinct(_joined(folded(c), CNIC, 3))
 
 
 def phones(c: Column) -> Column:
-    return F.array_distinct(_joined(c, PHONE, 2))
+    return F.array_distinct(_joined(folded(c), PHONE, 2))
 
 
 def plates(c: Column) -> Column:
-    return F.array_distinct(F.transform(_joined(c, PLATE, 3), F.upper))
+    return F.array_distinct(F.transform(_joined(folded(c), PLATE, 3), F.upper))
 
 
 def fir_numbers(c: Column) -> Column:
@@ -50,6 +59,7 @@ def sections(c: Column) -> Column:
 
 def dates(c: Column) -> Column:
     """Valid calendar days in either order of writing, earliest first."""
+    c = folded(c)
     iso = F.transform(F.regexp_extract_all(c, F.lit(ISO_DATE), F.lit(0)), lambda x: F.try_to_date(x, "yyyy-MM-dd"))
     dmy = F.transform(F.regexp_extract_all(c, F.lit(DMY_DATE), F.lit(0)), lambda x: F.try_to_date(F.translate(x, "/", "-"), "dd-MM-yyyy"))
     return F.array_sort(F.array_distinct(F.filter(F.concat(iso, dmy), lambda x: x.isNotNull())))

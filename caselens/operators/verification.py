@@ -9,11 +9,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+_FACT = r"[A-Za-z]*\d[\w\-/]*"
 CITE = r"[\[(]Document (\d+)[\])]"
 _STRONG = r"(?i)\b(?:i cannot|i can't|i am unable|unable to assist|not permitted|i have to decline)\b"
 _WEAK = r"(?i)\b(?:no information|not available|do not contain|could not find)\b"
-# Words that show an answer is not sure.
-HEDGES = ("may", "might", "possibly", "unconfirmed", "reportedly", "appears", "not verified", "low confidence")
+# Phrases that show an answer is not sure, in English and Urdu.
+HEDGES = (
+    "unconfirmed", "possible", "pending", "not yet verified", "under review", "flagged", "uncertain", "may be",
+    "غیر تصدیق شدہ", "ممکنہ", "ممکن ہے", "زیر التواء", "زیر التوا", "تصدیق نہیں ہوئی", "زیر جائزہ", "زیر غور", "نشان زد",
+    "غیر یقینی", "ہو سکتا ہے",
+)
 
 
 def citations(answer: Column) -> Column:
@@ -72,11 +77,25 @@ def claims(answer: Column) -> Column:
 
 def unsupported_numbers(claim: Column, passage: Column) -> Column:
     """Numbers and identifiers of a claim that its passage does not hold."""
-    pattern = F.lit(r"[A-Za-z]*\d[\w\-/]*")
+    pattern = F.lit(_FACT)
     bare = F.regexp_replace(claim, CITE, "")
     return F.array_except(F.array_distinct(F.regexp_extract_all(bare, pattern, F.lit(0))), F.regexp_extract_all(passage, pattern, F.lit(0)))
 
 
+def unsupported_claims(answers: DataFrame, passages: DataFrame, key: str, text: str) -> DataFrame:
+    """``(key, missing)``: how many numbers and identifiers the citing sentences of each answer state that none of the
+    passages they cite holds. ``passages(number, text)``; answers without a citing sentence give no row."""
+    c = answers.select(F.col(key).alias("key"), F.posexplode(claims(F.col(text))).alias("n", "claim"))
+    c = c.select("key", "n", citations(F.col("claim")).alias("cited"), F.array_distinct(F.regexp_extract_all(F.regexp_replace("claim", CITE, ""), F.lit(_FACT), F.lit(0))).alias("facts"))
+    facts = c.select("key", "n", "cited", F.explode("facts").alias("fact"))
+    told = facts.select("key", "n", "fact", F.explode("cited").alias("number"))
+    p = passages.select(F.col("number").cast("int").alias("number"), "text").join(told.select("number").distinct(), "number", "left_semi")
+    held = p.select("number", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(_FACT), F.lit(0)))).alias("fact"))
+    held = told.join(held, ["number", "fact"], "left_semi").select("key", "n", "fact").distinct()
+    bare = facts.join(held, ["key", "n", "fact"], "left_anti").groupBy("key").agg(F.count(F.lit(1)).alias("m"))
+    return c.select("key").distinct().join(bare, "key", "left").select(F.col("key").alias(key), F.coalesce("m", F.lit(0).cast("long")).alias("missing"))
+
+
 def verdict(*failed: Column) -> Column:
     """FAIL if any check failed or could not be made; PASS only if all were made and held."""
     bad = F.lit(False)

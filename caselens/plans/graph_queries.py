@@ -244,10 +244,21 @@ def vf_nocite(spark, d):
     return _answers(spark, d).where(vf.uncited(F.col("a"))).select("query_id")
 
 
-@query("vf_structural")
+_VF = r"""WITH q AS (SELECT DISTINCT query_id, final_response AS a FROM queries WHERE query_id IS NOT NULL AND final_response IS NOT NULL),
+ s AS (SELECT query_id, n, c FROM (SELECT query_id, unnest(l) AS c, generate_subscripts(l, 1) AS n FROM
+   (SELECT query_id, regexp_split_to_array(regexp_replace(a, '([.!?۔])\s+', '\1' || chr(10), 'g'), '\n+') AS l FROM q)) WHERE regexp_matches(c, '[\[(]Document (\d+)[\])]')),
+ f AS (SELECT DISTINCT query_id, n, unnest(regexp_extract_all(regexp_replace(c, '[\[(]Document (\d+)[\])]', '', 'g'), '[A-Za-z]*\d[\w\-/]*')) AS fact FROM s),
+ t AS (SELECT DISTINCT query_id, n, unnest(regexp_extract_all(c, '[\[(]Document (\d+)[\])]', 1)) AS number FROM s),
+ h AS (SELECT DISTINCT CAST(doc_id AS VARCHAR) AS number, unnest(regexp_extract_all(text, '[A-Za-z]*\d[\w\-/]*')) AS fact FROM documents),
+ m AS (SELECT query_id, count(*) AS k FROM f WHERE NOT EXISTS (SELECT 1 FROM t JOIN h USING (number) WHERE t.query_id = f.query_id AND t.n = f.n AND h.fact = f.fact) GROUP BY 1)
+ SELECT s.query_id, coalesce(max(k), 0) AS missing FROM s LEFT JOIN m USING (query_id) GROUP BY 1"""
+
+
+@query("vf_structural", _VF)
 def vf_structural(spark, d):
-    c = _answers(spark, d).select("query_id", F.explode(vf.claims(F.col("a"))).alias("claim"), "a")
-    return c.select("query_id", F.size(vf.unsupported_numbers(F.col("claim"), F.col("a"))).alias("missing")).groupBy("query_id").agg(F.sum("missing").alias("missing"))
+    """Citing sentences checked against the documents of the cited numbers."""
+    passages = table(spark, d, "documents").select(F.col("doc_id").alias("number"), "text")
+    return vf.unsupported_claims(_answers(spark, d), passages, "query_id", "a")
 
 
 @query("vf_merge")

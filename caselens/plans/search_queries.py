@@ -93,6 +93,11 @@ _BM25 = f"""WITH dt AS ({_TOK.format(k='doc_id', t='text', f="documents WHERE te
  bm AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, key) AS rank FROM sc)"""
 
 
+@query("topk_bm25", _BM25 + " SELECT query, key, rank FROM bm WHERE rank <= 3 AND score > 0")
+def topk_bm25(spark, d):
+    return _bm25(spark, d, 3).select("query", "key", "rank")
+
+
 @query("rt_bm25", _BM25 + " SELECT query, key, rank FROM bm WHERE rank <= 10 AND score > 0")
 def rt_bm25(spark, d):
     return _bm25(spark, d).select("query", "key", "rank")
