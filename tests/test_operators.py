@@ -117,6 +117,14 @@ def test_bm25_by_hand(spark):
             assert k not in got
 
 
+def test_vector_ties_are_broken_by_key_after_rounding(spark):
+    # cosines that differ by less than six digits show tie, so the least keys come first although their cosines are less
+    rows = [(k, [1.0, 1e-4 * (5 - k)]) for k in range(5)] + [(k, [0.0, 1.0]) for k in range(5, 60)]
+    df = spark.createDataFrame(rows, "id long, e array<double>").repartition(3)
+    got = rt.vector_top_k(spark.createDataFrame([(9, [1.0, 0.0])], "id long, e array<double>"), df, "id", "e", 2, row_block=7)
+    assert [(r.key, r.rank) for r in got.orderBy("rank").collect()] == [(0, 1), (1, 2)]
+
+
 def test_vector_top_k_against_brute_force(spark):
     import numpy as np
 
