@@ -117,6 +117,31 @@ def test_bm25_by_hand(spark):
             assert k not in got
 
 
+def test_bm25_of_texts_in_many_blocks_and_of_repeated_keys(spark, monkeypatch):
+    import math
+
+    monkeypatch.setattr(rt._best, "__defaults__", (5,))  # rows a block
+    texts = {i: f"car {'red ' * (i % 3)}{'tree ' * (i % 7 == 0)}x{i % 40}" for i in range(90)}
+    rows = [(i, t) for i, t in texts.items()] + [(7, "red tree more"), (11, "red"), (200, None), (201, " - ")]
+    texts[7], texts[11] = texts[7] + " red tree more", texts[11] + " red"  # rows of one key are one text
+    q = spark.createDataFrame([("a", "red", 1), ("a", "tree", 2), ("b", "car", 1), ("b", "x3", 1), ("c", "none", 1)], "query string, term string, n int")
+    got = {(r.query, r["rank"]): (r.key, r.score) for r in rt.bm25_texts(q, spark.createDataFrame(rows, "key long, text string").repartition(6), "key", "text", 4).collect()}
+    words = {i: t.split() for i, t in texts.items()}
+    n, avg = len(words), sum(map(len, words.values())) / len(words)
+    df = {w: sum(w in t for t in words.values()) for w in {w for t in words.values() for w in t}}
+    idf = {w: math.log(n - c + 0.5) - math.log(c + 0.5) for w, c in df.items()}
+    mean = sum(idf.values()) / len(idf)
+    for query, terms in (("a", {"red": 1, "tree": 2}), ("b", {"car": 1, "x3": 1})):
+        score = {}
+        for i, t in words.items():
+            for w, c in terms.items():
+                f = t.count(w)
+                score[i] = score.get(i, 0) + c * (0.25 * mean if idf[w] < 0 else idf[w]) * f * 2.5 / (f + 1.5 * (0.25 + 0.75 * len(t) / avg))
+        best = sorted((-round(s, 6), i) for i, s in score.items())[:4]
+        assert [got[query, k] for k in range(1, 5)] == [(i, pytest.approx(-s, abs=2e-6)) for s, i in best]
+    assert len(got) == 8
+
+
 def test_vector_ties_are_broken_by_key_after_rounding(spark):
     # cosines that differ by less than six digits show tie, so the least keys come first although their cosines are less
     rows = [(k, [1.0, 1e-4 * (5 - k)]) for k in range(5)] + [(k, [0.0, 1.0]) for k in range(5, 60)]
