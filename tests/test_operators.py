@@ -307,3 +307,22 @@ def test_communities_keep_the_hub(spark, sf):
     linked = p.where("a <> b").select(F.explode(F.array("a", "b")).alias("id")).distinct()
     got = {r.id for r in QUERIES["gc_louvain"](spark, sf).select("id").collect()}
     assert "PERSON-000000000" in got and got == {r.id for r in linked.collect()}
+
+
+def test_only_mentions_with_a_candidate_pass_the_probes_or_the_whole(spark, monkeypatch):
+    monkeypatch.setattr(er, "PROBES", 1)
+    m = spark.createDataFrame([("m1", "ali raza", None), ("m2", "zzz qqq", None), ("m3", "ana", "1"), ("m4", None, None), ("m5", "bo", "2")], "mention_id string, name string, cnic string")
+    e = spark.createDataFrame([("e1", "ali raza", ""), ("e2", "xxx qq", "3"), ("e3", "zzz qqq", "9"), ("e4", "ana", "2"), ("m5", "bo", None)], "entity_id string, name string, cnic string")
+    got = sorted(r.m_id for r in er.with_candidate(m, e, "name", "cnic").collect())
+    assert got == sorted({r.m_id for r in er.candidates(m, e, None, "name", "cnic").collect()})
+    assert "m4" not in got and "m5" not in got and "m1" in got
+
+
+def test_ratios_of_the_bound_and_of_all_pairs_are_those_one_by_one():
+    r = random.Random(4)
+    names = [" ".join("".join(r.choice("abcdeاب") for _ in range(r.randint(0, 9))) for _ in range(r.randint(1, 3))) for _ in range(60)] + ["", " ", "aaaaaaaaaaaa", "ab" * 50, "a" * 70]
+    for least in (0.05, 0.4, 0.9, 1.0):
+        i, j, ratio = er._ratios(names, er._Names(names), least)
+        got = {(x, y): s for x, y, s in zip(i.tolist(), j.tolist(), ratio.tolist())}
+        want = {(x, y): er.token_sort_ratio(a, b) if a.strip() and b.strip() else er.indel_ratio(" ".join(sorted(a.split())), " ".join(sorted(b.split()))) for x, a in enumerate(names) for y, b in enumerate(names) if a and b}
+        assert got == {k: s for k, s in want.items() if s >= least}
