@@ -142,6 +142,14 @@ def test_bm25_of_texts_in_many_blocks_and_of_repeated_keys(spark, monkeypatch):
     assert len(got) == 8
 
 
+def test_bm25_ties_at_the_cut_of_three_go_to_the_least_keys(spark, monkeypatch):
+    monkeypatch.setattr(rt._best, "__defaults__", (4,))  # rows a block
+    rows = [(i, "red car") for i in range(40)] + [(i, f"blue x{i} red") for i in range(40, 50)] + [(i, "tree house") for i in range(50, 180)]
+    q = spark.createDataFrame([("q", "car", 1)], "query string, term string, n int")
+    got = rt.bm25_texts(q, spark.createDataFrame(rows, "key long, text string").repartition(5), "key", "text", 3)
+    assert [(r.key, r["rank"]) for r in got.orderBy("rank").collect()] == [(0, 1), (1, 2), (2, 3)]
+
+
 def test_vector_ties_are_broken_by_key_after_rounding(spark):
     # cosines that differ by less than six digits show tie, so the least keys come first although their cosines are less
     rows = [(k, [1.0, 1e-4 * (5 - k)]) for k in range(5)] + [(k, [0.0, 1.0]) for k in range(5, 60)]
