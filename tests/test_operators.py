@@ -142,6 +142,46 @@ def test_bm25_of_texts_in_many_blocks_and_of_repeated_keys(spark, monkeypatch):
     assert len(got) == 8
 
 
+def test_bm25_never_shuffles_texts_or_copies_queries(spark):
+    import re
+
+    rows = spark.createDataFrame([(i, f"car red x{i}") for i in range(50)], "key long, text string").repartition(20)
+    q = spark.createDataFrame([("a", "red", 1), ("b", "x3", 1)], "query string, term string, n int")
+    plan = rt.bm25_texts(q, rows, "key", "text", 3)._jdf.queryExecution().executedPlan().toString()
+    assert [x for x in re.findall(r"Exchange ([^\n]*)", plan) if not x.startswith("hashpartitioning(query")] == []  # only the best of each query move
+    assert re.search(r"Coalesce 4\b", plan)  # each task sends its own best: no more tasks than cores
+
+
+@pytest.mark.parametrize("few", [0, 2, 64])
+def test_bm25_of_common_and_rare_terms_against_brute_force(spark, monkeypatch, few):
+    import math
+    from collections import Counter
+
+    monkeypatch.setattr(rt, "FEW", few)
+    monkeypatch.setattr(rt, "QUERIES_PER_TASK", 9)  # queries come in blocks too
+    monkeypatch.setattr(rt._best, "__defaults__", (20,))  # rows a block
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 20)
+    try:
+        r = random.Random(few)
+        draw = lambda n: [f"w{int(r.paretovariate(0.5)) % 90}" for _ in range(n)]
+        texts = {i: draw(r.randint(1, 12)) for i in range(400)}
+        texts |= {i: ["w1", "w2", "w3"] for i in range(400, 460)}  # ties
+        asked = {i: Counter(draw(r.randint(1, 6))) for i in range(30)} | {90: Counter(["w1"]), 91: Counter(["w1", "w2", "w80"]), 92: Counter(["none"])}
+        rows = spark.createDataFrame([(i, " ".join(t)) for i, t in texts.items()], "key long, text string").repartition(7)
+        q = spark.createDataFrame([(i, w, c) for i, t in asked.items() for w, c in t.items()], "query int, term string, n int")
+        got = {(x.query, x["rank"]): x.key for x in rt.bm25_texts(q, rows, "key", "text", 5).collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    n, avg = len(texts), sum(map(len, texts.values())) / len(texts)
+    df = Counter(w for t in texts.values() for w in set(t))
+    idf = {w: math.log(n - c + 0.5) - math.log(c + 0.5) for w, c in df.items()}
+    mean, want = sum(idf.values()) / len(idf), {}
+    for query, terms in asked.items():
+        score = {i: round(sum(c * (0.25 * mean if idf[w] < 0 else idf[w]) * t.count(w) * 2.5 / (t.count(w) + 1.5 * (0.25 + 0.75 * len(t) / avg)) for w, c in terms.items() if w in t), 6) for i, t in texts.items()}
+        want |= {(query, k): i for k, i in enumerate(sorted((i for i, x in score.items() if x > 0), key=lambda i: (-score[i], i))[:5], 1)}
+    assert got == want
+
+
 def test_bm25_ties_at_the_cut_of_three_go_to_the_least_keys(spark, monkeypatch):
     monkeypatch.setattr(rt._best, "__defaults__", (4,))  # rows a block
     rows = [(i, "red car") for i in range(40)] + [(i, f"blue x{i} red") for i in range(40, 50)] + [(i, "tree house") for i in range(50, 180)]
