@@ -152,6 +152,16 @@ def test_bm25_never_shuffles_texts_or_copies_queries(spark):
     assert re.search(r"Coalesce 4\b", plan)  # each task sends its own best: no more tasks than cores
 
 
+def test_topk_bm25_moves_only_the_best_of_each_query(spark, sf):
+    import re
+
+    import __spark_entry__ as entry
+
+    plan = entry.queries()["topk_bm25"](spark, sf)._jdf.queryExecution().executedPlan().toString()
+    moved = re.findall(r"Exchange ([^\n]*)", plan)
+    assert moved and all(x.startswith("hashpartitioning(query") for x in moved)
+
+
 @pytest.mark.parametrize("few", [0, 2, 64])
 def test_bm25_of_common_and_rare_terms_against_brute_force(spark, monkeypatch, few):
     import math
