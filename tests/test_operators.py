@@ -1,4 +1,6 @@
+import contextlib
 import datetime as dt
+import os
 import random
 
 import pytest
@@ -162,6 +164,30 @@ def test_topk_bm25_moves_only_the_best_of_each_query(spark, sf):
     assert moved and all(x.startswith("hashpartitioning(query") for x in moved)
 
 
+def test_topk_bm25_needs_less_disk_than_its_input(spark, tmp_path):
+    """Shuffle files and scratch tables of the whole query, those of the steps before its last plan too."""
+    import __spark_entry__ as entry
+    from caselens.session import shared_dir
+
+    r = random.Random(3)
+    draw = lambda n: " ".join(f"word{int(r.paretovariate(0.5)) % 1500}" for _ in range(n))
+    spark.createDataFrame([(i, draw(200)) for i in range(4000)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, draw(8)) for i in range(2000)], "query_id long, user_message string").write.parquet(f"{tmp_path}/queries.parquet")
+
+    def size(*roots):
+        found = {}
+        for path in (f"{at}/{name}" for root in roots for at, _, names in os.walk(root) for name in names):
+            with contextlib.suppress(FileNotFoundError):  # of an earlier test, removed just now
+                found[path] = os.path.getsize(path)
+        return found
+
+    local = list(spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString())
+    before = size(*local, shared_dir(spark))
+    assert entry.queries()["topk_bm25"](spark, str(tmp_path)).count() == 300  # the best three of each of 100 questions
+    left = sum(n for path, n in size(*local, shared_dir(spark)).items() if path not in before)
+    assert 0 < left < sum(size(tmp_path).values())
+
+
 @pytest.mark.parametrize("few", [0, 2, 64])
 def test_bm25_of_common_and_rare_terms_against_brute_force(spark, monkeypatch, few):
     import math
