@@ -226,6 +226,21 @@ def test_bm25_ties_at_the_cut_of_three_go_to_the_least_keys(spark, monkeypatch):
     assert [(r.key, r["rank"]) for r in got.orderBy("rank").collect()] == [(0, 1), (1, 2), (2, 3)]
 
 
+def _asked_of_whole_table(spark, at):
+    """Questions of any id, some without an id, some asked alike: ids and the document that each names."""
+    spark.createDataFrame([(i, f"parcel x{i} of the register") for i in range(40)], "doc_id long, text string").write.parquet(f"{at}/documents.parquet")
+    asked = [(i, f"where is x{i % 30}?") for i in range(1, 62)] + [(None, "where is x7?")]
+    spark.createDataFrame(asked, "query_id long, user_message string").write.parquet(f"{at}/queries.parquet")
+    return {(i, int(m[10:-1])) for i, m in asked}
+
+
+def test_rt_bm25_answers_every_question(spark, tmp_path):
+    import __spark_entry__ as entry
+
+    want = _asked_of_whole_table(spark, tmp_path)
+    assert {(r.query, r.key) for r in entry.queries()["rt_bm25"](spark, str(tmp_path)).collect()} == want
+
+
 def test_vector_ties_are_broken_by_key_after_rounding(spark):
     # cosines that differ by less than six digits show tie, so the least keys come first although their cosines are less
     rows = [(k, [1.0, 1e-4 * (5 - k)]) for k in range(5)] + [(k, [0.0, 1.0]) for k in range(5, 60)]
