@@ -241,6 +241,21 @@ def test_rt_bm25_answers_every_question(spark, tmp_path):
     assert {(r.query, r.key) for r in entry.queries()["rt_bm25"](spark, str(tmp_path)).collect()} == want
 
 
+def test_topk_bm25_answers_every_question(spark, tmp_path):
+    import __spark_entry__ as entry
+
+    want = _asked_of_whole_table(spark, tmp_path)
+    assert {(r.query, r.key) for r in entry.queries()["topk_bm25"](spark, str(tmp_path)).collect()} == want
+
+
+def test_bags_hold_the_tokens(spark):
+    from caselens.functions.text import tokens
+
+    texts = ["a--b c-d-.e f_g/h.i. -j k- \u0663\u0664-\u06f5 \U00010400-\U00010401x", "", "...", "\u00e9-\u00e8_\u00fc \u0130stanbul-x A.B.C a a", "FIR-2025-3/4 x.y@z-w", None]
+    df = spark.createDataFrame([(t,) for t in texts], "t string").select(tokens(F.col("t")).alias("a"), rt._bag(F.col("t")).alias("b"))
+    assert all((r.a and sorted(r.a)) == (r.b and sorted(r.b)) for r in df.collect())
+
+
 def test_vector_ties_are_broken_by_key_after_rounding(spark):
     # cosines that differ by less than six digits show tie, so the least keys come first although their cosines are less
     rows = [(k, [1.0, 1e-4 * (5 - k)]) for k in range(5)] + [(k, [0.0, 1.0]) for k in range(5, 60)]
