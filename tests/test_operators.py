@@ -256,6 +256,25 @@ def test_bags_hold_the_tokens(spark):
     assert all((r.a and sorted(r.a)) == (r.b and sorted(r.b)) for r in df.collect())
 
 
+def test_rt_hybrid_answers_every_question(spark, tmp_path):
+    import __spark_entry__ as entry
+
+    want = _asked_of_whole_table(spark, tmp_path)
+    got = entry.queries()["rt_hybrid"](spark, str(tmp_path)).collect()
+    assert {r.query for r in got} == {i for i, _ in want} and len(got) == 10 * len(want)
+    both = {(r.query, r.key): r.rrf for r in got}
+    assert all(both[x] >= 1 / 61 - 1e-6 for x in want)  # the named document leads by its words
+
+
+def test_equal_query_vectors_are_compared_once(spark):
+    r = random.Random(5)
+    rows = spark.createDataFrame([(i, [r.gauss(0, 1) for _ in range(4)]) for i in range(50)], "id long, e array<double>")
+    same = [[r.gauss(0, 1) for _ in range(4)] for _ in range(3)]
+    q = spark.createDataFrame([(i, same[i % 3]) for i in range(12)] + [(None, same[0]), (99, None)], "id long, e array<double>")
+    read = lambda once: sorted((x.query or -1, x["rank"], x.key, round(x.score, 6)) for x in rt.vector_top_k(q, rows, "id", "e", 5, once=once).collect())
+    assert read(True) == read(False) and len(read(True)) == 65
+
+
 def test_vector_ties_are_broken_by_key_after_rounding(spark):
     # cosines that differ by less than six digits show tie, so the least keys come first although their cosines are less
     rows = [(k, [1.0, 1e-4 * (5 - k)]) for k in range(5)] + [(k, [0.0, 1.0]) for k in range(5, 60)]
